@@ -71,10 +71,12 @@ def branch_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         if 2 ** (len(doubling) - 1) > total:
             break  # whatever still has an ancestor is on or under a cycle
         far = steps.select("tree_id", F.col("message_id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("more"))
-        steps = materialize(
-            steps.join(far, ["tree_id", "up"], "left")
-            .select("tree_id", "message_id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        # only nodes that still have an ancestor at this distance are joined on
+        further = (
+            steps.filter("up is not null").join(far, ["tree_id", "up"])
+            .select("tree_id", "message_id", F.col("up2").alias("up"), (F.col("score") + F.col("more")).alias("score"))
         )
+        steps = materialize(further.union(steps.filter("up is null").select("tree_id", "message_id", "up", "score")))
         doubling.append(steps)
     parents = nodes.filter("parent_id is not null").select("tree_id", F.col("parent_id").alias("message_id"))
     leaves = steps.filter("up is null").join(parents, ["tree_id", "message_id"], "left_anti")

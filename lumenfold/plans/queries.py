@@ -150,9 +150,9 @@ def az_edge_mask(spark, sf_dir):
     return series.edge_mask(stream(spark, sf_dir), ["feed"], "t", "value", 0.8, 3).select("t", "masked")
 
 
-@query(f"WITH {EV}, b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY feed ORDER BY t) - 1) / 20) AS INTEGER) AS block FROM ev) SELECT feed, block, round(avg(value), 4) AS mean, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY ALL")
+@query(f"WITH {EV}, b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY feed ORDER BY t) - 1) / 20) AS INTEGER) AS block FROM ev) SELECT feed, block, round(avg(value), 6) AS mean, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY ALL")
 def block_mean(spark, sf_dir):
-    return series.block_mean(stream(spark, sf_dir), ["feed"], "t", "value", 20).select("feed", "block", r("mean").alias("mean"), "n")
+    return series.block_mean(stream(spark, sf_dir), ["feed"], "t", "value", 20).select("feed", "block", r("mean", 6).alias("mean"), "n")
 
 
 @query(f"""WITH {EV}, l AS (SELECT feed, t FROM ev WHERE sb = 'click'), s AS (SELECT feed, t, value FROM ev WHERE sb = 'view'),

@@ -166,15 +166,17 @@ def _tile_pairs(percent: int):
         n, comp, sid, side = (tile[c].to_numpy() for c in ("n", "comp", "sid", "side"))
         out = []
         ends = np.searchsorted(n, n * 100 // percent, side="right")
+        # rows are sorted by size, so bitmaps widen downwards: for each width, those from there on folded to it
         maps = tile["bits"].tolist()
+        widths = np.array([len(m) for m in maps])
+        folded = {w: (lo := int(np.searchsorted(widths, w)), fold(maps[lo:], w)) for w in np.unique(widths)}
         for i in range(len(n) - 1):
             j = np.arange(i + 1, ends[i])
             j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 2))]
             if not len(j):
                 continue
-            narrow = len(maps[i])
-            mine = np.frombuffer(maps[i], dtype=np.uint8)
-            theirs = fold([maps[k] for k in j], narrow)
+            lo, rows = folded[widths[i]]
+            mine, theirs = rows[i - lo], rows[j - lo]
             most = np.minimum(n[i] - _POP[mine & ~theirs].sum(axis=1, dtype=np.int64), n[j] - _POP[theirs & ~mine].sum(axis=1, dtype=np.int64))
             j = j[100 * most >= percent * (n[i] + n[j] - most)]
             out.append(pd.DataFrame({"a": np.minimum(sid[i], sid[j]), "b": np.maximum(sid[i], sid[j])}))

@@ -64,7 +64,7 @@ def _selected(chosen):
     return run
 
 
-def fit_toxicity(labelled: DataFrame, max_rows: int = 12_000, fit_rows: int = 4_000, smoothing: float = 20.0, least_ratio: float = 0.6, l2: float = 2e-3, rounds: int = 300) -> ToxicityModel:
+def fit_toxicity(labelled: DataFrame, max_rows: int = 12_000, fit_rows: int = 4_000, smoothing: float = 60.0, least_ratio: float = 0.6, l2: float = 2e-3, rounds: int = 300) -> ToxicityModel:
     """Fit on labelled rows: text and label (0 or 1; null labels are ignored, null text is empty).
 
     At most max_rows rows, the first by a hash of the text, give the log-count ratios, and at

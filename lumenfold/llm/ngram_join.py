@@ -10,6 +10,7 @@ the overlap from above, and what passes is settled by intersecting the sorted ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -126,7 +127,9 @@ def _prefixes(size: int, percent: int, sketch):
     return run
 
 
-def _arrays(size: int):
+def _bitmaps(size: int):
+    """Texts with their set's fingerprint, size and bitmap. Texts travel, not their arrays of
+    hashes: they are shorter and compress."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for batch in batches:
@@ -134,20 +137,22 @@ def _arrays(size: int):
             for text in batch["_text"]:
                 tokens = shingle_set(text, words, size)
                 if len(tokens):
-                    rows.append((xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63), len(tokens), bitmap(tokens), tokens.tobytes()))
-            yield pd.DataFrame(rows, columns=["sid", "n", "bits", "tokens"])
+                    rows.append((xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63), len(tokens), bitmap(tokens), text))
+            yield pd.DataFrame(rows, columns=["sid", "n", "bits", "text"])
 
     return run
 
 
-def _settle(percent: int):
-    """Exact test of pairs: intersect the two sorted arrays."""
+def _settle(size: int, percent: int):
+    """Exact test of pairs: intersect the two sorted arrays. A text that repeats in following rows is shingled once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        arrays = lru_cache(maxsize=8)(lambda text: shingle_set(text, words, size))
         for batch in batches:
             ok = []
             for x, y in zip(batch["x"], batch["y"]):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                a, b = arrays(x), arrays(y)
                 if len(a) > len(b):
                     a, b = b, a
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -197,13 +202,12 @@ def _tile_pairs(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    left = arrays.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
-    right = arrays.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
-    sized = pairs.join(left.drop("x"), "a").join(right.drop("y"), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    sizes = texts.select("sid", "n")
+    sized = pairs.join(sizes.withColumnsRenamed({"sid": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"sid": "b", "n": "nb"}), "b")
     sized = sized.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    both = sized.join(left.drop("na"), "a").join(right.drop("nb"), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(_settle(percent), "a long, b long")
+    both = sized.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInPandas(_settle(size, percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, tile_rows: int = 512) -> DataFrame:
@@ -242,11 +246,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = materialize(lists.filter("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
     named = materialize(sets.filter("sid is not null").groupBy("sid").agg(F.min("_id").alias("lowest"), F.max("n").alias("n")))
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    rows_wanted = named.join(wanted, "sid", "left_semi").select(F.col("lowest").alias("_id")).distinct()
-    found = texts.join(rows_wanted, texts["_id"].eqNullSafe(rows_wanted["_id"]), "left_semi").mapInPandas(_arrays(size), "sid long, n long, bits binary, tokens binary")
-    arrays = materialize(found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]))
-
-    links = materialize(_verified(pairs, arrays, percent))
+    own = [F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_own")]  # without nulls, so that null ids meet in a plain join
+    asked = named.join(wanted, "sid", "left_semi").select(F.col("lowest").alias("_id")).select(*own).distinct()
+    # texts are shuffled by id once; rows that repeat an id and a text fold where they meet
+    met = texts.select(*own, "_text", F.xxhash64("_text").alias("_h"), F.xxhash64(F.lit(1), "_text").alias("_h2")).join(asked, ["_none", "_own"], "left_semi")
+    met = met.dropDuplicates(["_none", "_own", "_h", "_h2"]).select("_text")
+    found = materialize(met.mapInPandas(_bitmaps(size), "sid long, n long, bits binary, text string"))
+    # texts of one id that differ but have the same set stay, and are compared once each
+    links = materialize(_verified(pairs, found, size, percent))
     once = materialize(connected_components(links, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("comp")))
     labelled = lists.select("token", "sid").join(once, "sid", "left").select("token", "sid", F.coalesce("comp", "sid").alias("comp"))
     open_lists = (
@@ -261,11 +268,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("token", "sid", "comp", F.concat_ws(":", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
                 F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-        .join(arrays.select("sid", "n", "bits"), "sid")
+        .join(found.select("sid", "n", "bits"), "sid")
     )
     tiles = members.repartition("token", "tile").sortWithinPartitions("token", "tile")
     more = tiles.select("token", "tile", "sid", "comp", "side", "n", "bits").mapInPandas(_tile_pairs(percent), "a long, b long").distinct()
-    late = _verified(materialize(more), arrays, percent)
+    late = _verified(materialize(more), found, size, percent)
     late = late.join(once.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a", "left").join(once.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b", "left")
     twice = connected_components(late.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b").select(F.col("node").alias("comp"), F.col("component").alias("final"))
     ends = named.join(once, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).join(twice, "comp", "left").select("sid", "lowest", F.coalesce("final", "comp").alias("comp"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import maps, series, spectra
 from lumenfold.plans import queries as plans
+from lumenfold.plans import signal_queries  # noqa: F401
 from lumenfold.sources.text import read_scans, read_splits
 from lumenfold.streaming.maps import stream_map, streamed_map
 

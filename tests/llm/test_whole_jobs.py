@@ -1,0 +1,41 @@
+"""Operators against what their whole job is: every pair, every item, every row."""
+
+import random
+
+from test_operators import components, docs_of, plain_edit
+
+from lumenfold.llm import line_dedup
+
+
+def lines_gone(texts, min_words=5):
+    """By all pairs and edit similarity alone: line -> the line that stays."""
+    split = {(i, k): [w for w in (w.strip(line_dedup.EDGES) for w in x.lower().split(" ")) if w] for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))}
+    places = sorted(p for p, w in split.items() if w)
+    links = []
+    for i, p in enumerate(places):
+        for j in range(i):
+            a, b = split[p], split[places[j]]
+            most = max(len(a), len(b))
+            if a == b or (min(len(a), len(b)) >= max(min_words, 0.75 * most) and plain_edit(a, b) <= 0.25 * most):
+                links.append((i, j))
+    return {(*places[i], *places[c]) for i, c in enumerate(components(len(places), links)) if c != i}
+
+
+def test_line_dedup_finds_every_pair_by_edit_similarity(spark):
+    r = random.Random(8)
+    words = ["u%d" % i for i in range(150)] + ["the"] * 60
+    lines = [[r.choice(words) for _ in range(n)] for n in range(5, 65)]
+    for line in list(lines):
+        n = len(line)
+        for edits in {1, max(1, n // 8), n // 4}:
+            more = list(line)
+            for _ in range(edits):
+                at, how = r.randrange(len(more)), r.randrange(3)
+                more[at : at + (how > 0)] = [] if how == 2 else [r.choice(words)]
+            lines.append(more)
+    lines += [["too", "short"], ["Too", "short!"], ["short", "too"], ["one", "two", "three", "four"], ["one", "two", "three", "five"]]
+    r.shuffle(lines)
+    texts = ["\n".join(" ".join(x) for x in lines[i : i + 3]) for i in range(0, len(lines), 3)] + [None, "", "\n \n"]
+    want = lines_gone(texts)
+    assert len(want) > 100
+    assert {tuple(x) for x in line_dedup.duplicate_lines(docs_of(spark, texts).repartition(4), distance=None).collect()} == want

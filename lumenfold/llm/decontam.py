@@ -1,8 +1,13 @@
-"""Benchmark decontamination by template canonicalisation and slot consistency."""
+"""Benchmark decontamination by template canonicalisation, alignment and slot consistency.
+
+Short windows of tokens, as written and as templates, find where an item may stand in a document;
+there the whole item is aligned by edit distance over tokens, and its slots must be consistent.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,21 +44,22 @@ class Tokens(dict):
         return value
 
 
-def template(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template codes, kinds and values of a text's tokens.
+def template(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template codes, kinds, values and shapes of a text's tokens.
 
     Numbers become <number>, a unit after a number <unit>, a capitalised word inside a sentence
     <name>; every other token stands for itself, in lower case. Values are hashes of the tokens.
+    Shapes are kinds, with capitalised words at the start of a sentence as <name> too.
     """
     found = _TOKEN.findall(text) if text else []
     pairs = np.array([tokens[t] for t in found], dtype=np.uint64).reshape(-1, 2)
     value, kind = pairs[:, 0], pairs[:, 1].astype(np.int8)
     before = np.r_[np.int8(END), kind[:-1]]
-    kind = np.where((kind == NAME) & (before == END), WORD, kind)
-    kind = np.where((kind == UNIT) & (before != NUMBER), WORD, kind)
+    shape = np.where((kind == UNIT) & (before != NUMBER), WORD, kind)
+    kind = np.where((shape == NAME) & (before == END), WORD, shape)
     keep = kind != END
-    value, kind = value[keep], kind[keep]
-    return np.where(kind == WORD, value, _SLOT[kind]), kind.astype(np.int8), value
+    value, kind, shape = value[keep], kind[keep], shape[keep]
+    return np.where(kind == WORD, value, _SLOT[kind]), kind.astype(np.int8), value, shape.astype(np.int8)
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -73,93 +79,194 @@ def _windows(kind: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(2 * (words[width:] - words[:-width]) >= width)
 
 
-def _bench_rows(width: int):
+def seed_width(n: int) -> int:
+    """Tokens of the windows that find an item of n: 15 tokens or more keep 4 in a row after any two edits, 11 keep 3."""
+    return 4 if n >= 15 else min(n, 3)
+
+
+def item_windows(codes: np.ndarray, kind: np.ndarray, value: np.ndarray, shape: np.ndarray) -> set[tuple[int, int]]:
+    """(start, hash) of an item's windows: all as written, and as templates those of at least half
+    words; a capitalised first token, which is a word or a name by where it is quoted, in both readings."""
+    w = seed_width(len(codes))
+    out = set(enumerate(window_hashes(value, w).view(np.int64).tolist()))
+    if len(codes) < 4:
+        return out
+    readings = [(codes, kind)]
+    if shape[0] == NAME:
+        readings.append((np.r_[_SLOT[NAME], codes[1:]], np.r_[np.int8(NAME), kind[1:]]))
+    for c, k in readings:
+        hashes = window_hashes(c, w).view(np.int64)
+        out |= {(int(i), int(hashes[i])) for i in _windows(k, w)}
+    return out
+
+
+def align(item: tuple, doc: tuple, shifts: np.ndarray, coverage: float, consistency: float) -> tuple[float, float, bool] | None:
+    """The best placing of an item near some shifts in a document: share of its tokens that align
+    (1 - edits / tokens), consistency of its slots, and whether it stands there as written. None
+    if no placing reaches coverage and consistency. Tokens align if they are equal but for case,
+    or if both are names, numbers or units where the item has a slot.
+    """
+    _, kind, value, shape = item
+    _, _, found, looks = doc
+    n, best = len(value), None
+    slot = np.where((kind == WORD) & ~((np.arange(n) == 0) & (shape == NAME)), -1, shape)
+    pad = int(n * (1 - coverage)) + 1
+    shifts = np.unique(shifts)
+    for near in np.split(shifts, np.flatnonzero(np.diff(shifts) > 2 * pad) + 1):
+        lo, hi = max(0, int(near[0]) - pad), int(near[-1]) + n + pad
+        b, looks_b = found[lo:hi], looks[lo:hi]
+        if (np.isin(value, b) | np.isin(slot, looks_b)).sum() < coverage * n:
+            continue
+        # rows: tokens of the item; a placing starts and ends anywhere in the region
+        steps = np.arange(len(b) + 1)
+        table = np.zeros((n + 1, len(b) + 1))
+        for i in range(n):
+            cost = np.where(b == value[i], 0.0, np.where(looks_b == slot[i], 1e-6, 1.0))
+            row = np.r_[i + 1.0, np.minimum(table[i, :-1] + cost, table[i, 1:] + 1)]
+            table[i + 1] = np.minimum.accumulate(row - steps) + steps
+        ends = np.flatnonzero(np.floor(table[n] + 1e-9) <= n * (1 - coverage) + 1e-9)
+        ends = ends[np.argsort(table[n, ends], kind="stable")]
+        while len(ends):
+            i, j, met, same = n, int(ends[0]), [], 0
+            while i:
+                equal = j and b[j - 1] == value[i - 1]
+                paired = j and (equal or looks_b[j - 1] == slot[i - 1])
+                if j and abs(table[i, j] - table[i - 1, j - 1] - (0.0 if equal else 1e-6 if paired else 1.0)) < 1e-8:
+                    i, j = i - 1, j - 1
+                    same += bool(equal)
+                    if paired and slot[i] >= 0:
+                        met.append((int(slot[i]), int(value[i]), int(b[j])))
+                elif abs(table[i, j] - table[i - 1, j] - 1) < 1e-8:
+                    i -= 1
+                else:
+                    j -= 1
+            mostly: dict = {}
+            for (s, x, _), times in Counter(met).items():
+                mostly[s, x] = max(mostly.get((s, x), 0), times)
+            consistent = sum(mostly.values()) / len(met) if met else 1.0
+            cost = float(table[n, ends[0]])
+            if consistent >= consistency:
+                this = (1 - float(np.floor(cost + 1e-9)) / n, consistent, same == n and cost < 1e-9)
+                best = this if best is None else max(best, this)
+                break  # those behind it in this region cover no more
+            ends = ends[np.abs(ends - ends[0]) > max(1, n // 2)]
+    return best
+
+
+def _bench_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tokens = Tokens()
+    for batch in batches:
+        out = []
+        for item, text in zip(batch["_item"], batch["_text"]):
+            parts = template(text, tokens)
+            if len(parts[0]):
+                out += [(item, text, seed_width(len(parts[0])), at, h) for at, h in item_windows(*parts)]
+        yield pd.DataFrame(out, columns=["item", "words", "width", "at", "hash"])
+
+
+def _doc_windows(parts: tuple, width: int) -> list[np.ndarray]:
+    """Window hashes of a document by start: as a template and as written."""
+    return [window_hashes(parts[0], width).view(np.int64), window_hashes(parts[2], width).view(np.int64)]
+
+
+def _aligned_docs(known, items, coverage: float, consistency: float):
+    """Documents against all items: known holds sorted hashes, items and starts by width."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens()
+        tokens, by_width = Tokens(), known.value
+        parsed = {i: template(t, tokens) for i, t in items.value.items()}
         for batch in batches:
             out = []
-            for item, text in zip(batch["_item"], batch["_text"]):
-                codes, kind, value = template(text, tokens)
-                w = min(width, len(codes))
-                if w < 4:
+            for doc, text in zip(batch["_id"], batch["_text"]):
+                parts, hits = template(text, tokens), []
+                for w, (table, item, at) in by_width.items():
+                    for hashes in _doc_windows(parts, w):
+                        lo = np.searchsorted(table, hashes)
+                        pos = np.flatnonzero(table[np.minimum(lo, len(table) - 1)] == hashes)
+                        if len(pos):
+                            lo = lo[pos]
+                            count = np.searchsorted(table, hashes[pos], side="right") - lo
+                            rows = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+                            hits.append(np.stack([item[rows], np.repeat(pos, count) - at[rows], at[rows]]))
+                if not hits:
                     continue
-                hashes, at = window_hashes(codes, w).view(np.int64), _windows(kind, w)
-                out += [(item, w, int(i), len(at), int(hashes[i]), kind[i : i + w].tobytes(), value[i : i + w].tobytes()) for i in at]
-            yield pd.DataFrame(out, columns=["item", "width", "at", "of", "hash", "kinds", "vals"])
+                found = np.concatenate(hits, axis=1)
+                found = found[:, np.argsort(found[0], kind="stable")]
+                for group in np.split(found, np.flatnonzero(np.diff(found[0])) + 1, axis=1):
+                    got = align(parsed[int(group[0, 0])], parts, group[1], coverage, consistency)
+                    if got:
+                        out.append((doc, int(group[0, 0]), len(np.unique(group[2])), *got))
+            frame = pd.DataFrame(out, columns=["doc", "item", "windows", "covered", "consistent", "verbatim"])
+            frame["doc"] = frame["doc"].astype("Int64")
+            yield frame
 
     return run
 
 
-def _doc_rows(known):
+def _all_windows(widths: list[int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, by_width = Tokens(), known.value
+        tokens = Tokens()
+        for batch in batches:
+            for row, text in zip(batch["_row"], batch["_text"]):
+                parts = template(text, tokens)
+                every = [(w, h) for w in widths for h in _doc_windows(parts, w)]
+                yield pd.concat([pd.DataFrame({"row": row, "width": w, "pos": np.arange(len(h)), "hash": h}) for w, h in every])
+
+    return run
+
+
+def _aligned_pairs(coverage: float, consistency: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens()
         for batch in batches:
             out = []
-            for doc, text in zip(batch["_id"], batch["_text"]):
-                codes, kind, value = template(text, tokens)
-                for w, table in by_width.items():
-                    hashes = window_hashes(codes, w).view(np.int64)
-                    hit = np.arange(len(hashes)) if table is None else np.flatnonzero(table[np.minimum(np.searchsorted(table, hashes), len(table) - 1)] == hashes)
-                    out += [(doc, int(i), int(hashes[i]), value[i : i + w].tobytes()) for i in hit]
-            frame = pd.DataFrame(out, columns=["doc", "pos", "hash", "found"])
+            for doc, text, item, words, windows, shifts in zip(*(batch[c] for c in ("_id", "_text", "item", "words", "windows", "shifts"))):
+                got = align(template(words, tokens), template(text, tokens), np.asarray(shifts), coverage, consistency)
+                if got:
+                    out.append((doc, item, windows, *got))
+            frame = pd.DataFrame(out, columns=["doc", "item", "windows", "covered", "consistent", "verbatim"])
             frame["doc"] = frame["doc"].astype("Int64")
             yield frame
 
     return run
 
 
-def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per matched window its slots: kind, the item's value, the document's value, and sameness."""
-    for batch in batches:
-        rows = []
-        for doc, item, at, of, pos, kinds, vals, found in zip(*(batch[c] for c in ("doc", "item", "at", "of", "pos", "kinds", "vals", "found"))):
-            kind = np.frombuffer(kinds, dtype=np.int8)
-            a, b = np.frombuffer(vals, dtype=np.int64), np.frombuffer(found, dtype=np.int64)
-            slot = kind != WORD
-            rows.append((doc, item, at, of, pos, [f"{k}:{x}" for k, x in zip(kind[slot], a[slot])], [int(x) for x in b[slot]], bool((a == b).all())))
-        frame = pd.DataFrame(rows, columns=["doc", "item", "at", "of", "pos", "slots", "values", "same"])
-        frame["doc"] = frame["doc"].astype("Int64")
-        yield frame
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    width: int = 10, coverage: float = 0.5, consistency: float = 0.8, max_windows: int = 2_000_000,
+    coverage: float = 0.5, consistency: float = 0.8, max_windows: int = 2_000_000,
 ) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains, as written or re-parameterised.
 
-    Template windows of `width` tokens (a shorter item: all of it, four tokens at least) join on
-    their hash; windows of mostly placeholders don't count. A pair stays if its windows cover at
-    least `coverage` of the item's and its slots are consistent: the share of slot occurrences
-    whose item value meets the document value it mostly meets, in one placing of the item, is at
-    least `consistency`.
+    Windows of 4 tokens (items under 15 tokens: 3, or all they have) join on their hash, as written
+    for every item, and as templates unless they are mostly placeholders. Where one is found, the
+    item is aligned with the document by edit distance over tokens. A pair stays if at least
+    `coverage` of the item's tokens align in one placing and its slots are consistent there: the
+    share of slot occurrences whose item value meets the document value it mostly meets is at
+    least `consistency`. Items of fewer than four tokens are found as written only.
     Returns id_col, item_col, windows, covered, consistent, verbatim. Null texts are empty, empty
     texts and empty tables match nothing, null ids are matched like others, and rows that repeat
-    an id count as one document.
+    an id count as one document, by its best placing.
 
-    Window hashes of the benchmark are broadcast if there are at most max_windows of them, which
-    leaves only hits to shuffle; beyond that all windows of all documents are shuffled.
+    Windows and items of the benchmark are broadcast if there are at most max_windows windows,
+    which leaves nothing but pairs to shuffle; beyond that all windows of all documents are shuffled.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("_item"), F.col(item_text).alias("_text")).filter("_item is not null")
-    windows = materialize(items.mapInPandas(_bench_rows(width), "item long, width int, at int, of int, hash long, kinds binary, vals binary"))
-    size = windows.select("width", "hash").distinct().limit(max_windows + 1).count()
-    widths = sorted(r["width"] for r in windows.select("width").distinct().collect())
-    known = dict.fromkeys(widths)
-    if size <= max_windows:
-        found = windows.select("width", "hash").distinct().toPandas()
-        known = {w: np.sort(found.hash[found.width == w].to_numpy()) for w in widths}
+    windows = materialize(items.mapInPandas(_bench_rows, "item long, words string, width int, at int, hash long"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    hits = texts.mapInPandas(_doc_rows(spark.sparkContext.broadcast(known)), "doc long, pos int, hash long, found binary")
-    matched = hits.join(windows, "hash").filter(F.length("found") == F.length("vals"))
-    matched = materialize(matched.select("doc", "item", "at", "of", "pos", "kinds", "vals", "found").mapInPandas(_slots, "doc long, item long, at int, of int, pos int, slots array<string>, values array<long>, same boolean"))
-    pairs = matched.groupBy("doc", "item").agg(F.count_distinct("at").alias("windows"), F.max("of").alias("of"), F.max(F.col("same").cast("int")).alias("any_same"), F.min(F.col("same").cast("int")).alias("all_same"))
-    slots = matched.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift"), F.explode(F.arrays_zip("slots", "values")).alias("s")).groupBy("doc", "item", "shift", "s.slots", "s.values").agg(F.count("*").alias("n"))
-    slots = slots.groupBy("doc", "item", "shift", "slots").agg(F.max("n").alias("most"), F.sum("n").alias("n")).groupBy("doc", "item").agg((F.sum("most") / F.sum("n")).alias("consistent"))
-    slots = slots.select(F.col("doc").alias("_doc"), F.col("item").alias("_item"), "consistent")
-    both = pairs.join(slots, pairs["doc"].eqNullSafe(slots["_doc"]) & (pairs["item"] == slots["_item"]), "left")
-    both = both.select(
-        F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("windows").cast("long").alias("windows"), (F.col("windows") / F.col("of")).alias("covered"),
-        F.coalesce("consistent", F.lit(1.0)).alias("consistent"), (F.col("all_same") == 1).alias("verbatim"),
-    )
-    return both.filter((F.col("covered") >= coverage) & (F.col("consistent") >= consistency))
+    result = "doc long, item long, windows long, covered double, consistent double, verbatim boolean"
+    one_each = windows.select("item").distinct().count() == windows.select("item", "words").distinct().count()
+    if one_each and windows.limit(max_windows + 1).count() <= max_windows:
+        found = windows.select("width", "hash", "item", "at").distinct().toPandas().sort_values("hash")
+        known = {int(w): tuple(part[c].to_numpy(np.int64) for c in ("hash", "item", "at")) for w, part in found.groupby("width")}
+        words = {r["item"]: r["words"] for r in windows.select("item", "words").distinct().collect()}
+        pairs = texts.mapInPandas(_aligned_docs(spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(words), coverage, consistency), result)
+    else:
+        # a row is known by two hashes of its id and text; equal rows fold
+        keyed = materialize(texts.select(F.concat_ws(":", F.xxhash64("_id", "_text"), F.xxhash64(F.lit(1), "_id", "_text")).alias("_row"), "_id", "_text").dropDuplicates(["_row"]))
+        widths = sorted(r["width"] for r in windows.select("width").distinct().collect())
+        hits = keyed.select("_row", "_text").mapInPandas(_all_windows(widths), "row string, width int, pos int, hash long").join(windows, ["width", "hash"])
+        hits = hits.groupBy("row", "item", "words").agg(F.count_distinct("at").alias("windows"), F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
+        pairs = hits.join(keyed, F.col("row") == F.col("_row")).select("_id", "_text", "item", "words", "windows", "shifts").mapInPandas(_aligned_pairs(coverage, consistency), result)
+    best = materialize(pairs).groupBy("doc", "item").agg(F.max(F.struct("covered", "consistent", "verbatim", "windows")).alias("b"))
+    return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.windows", "b.covered", "b.consistent", "b.verbatim")

@@ -4,7 +4,7 @@ import random
 
 from test_operators import components, docs_of, plain_edit
 
-from lumenfold.llm import line_dedup
+from lumenfold.llm import decontam, line_dedup
 
 
 def lines_gone(texts, min_words=5):
@@ -39,3 +39,23 @@ def test_line_dedup_finds_every_pair_by_edit_similarity(spark):
     want = lines_gone(texts)
     assert len(want) > 100
     assert {tuple(x) for x in line_dedup.duplicate_lines(docs_of(spark, texts).repartition(4), distance=None).collect()} == want
+
+
+def test_decontamination_finds_edited_items(spark):
+    r = random.Random(3)
+    words = ["q" + "".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    items = {n: [r.choice(words) for _ in range(n)] for n in range(15, 41)}
+    texts, want = [], set()
+    for n, item in items.items():
+        places = [(k,) for k in range(n)] + [(k, r.randrange(n)) for k in range(n)]
+        for k, edited in enumerate(places):
+            copy = list(item)
+            for at in edited:
+                copy[at] = "changed" if k % 3 else "changed twice" if k % 2 else ""
+            want.add((len(texts), n))
+            texts.append("Before it. " + " ".join(copy) + ", and after")
+    clean = len(texts)
+    texts += [" ".join(r.choice(words) for _ in range(200)) for _ in range(20)]
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == want and clean not in {d for d, _ in got}

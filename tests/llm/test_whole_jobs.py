@@ -59,3 +59,12 @@ def test_decontamination_finds_edited_items(spark):
     bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs_of(spark, texts), bench).collect()}
     assert got == want and clean not in {d for d, _ in got}
+
+
+def test_decontamination_finds_every_item_as_written(spark):
+    items = ["Add 12, 15, 18, 21, 24 and 30", "What is 7?", "Compare seven green apples with pears", "Ask Anna Berg and Carl Dahl, then Eva Falk"]
+    texts = [f"They said, {x}" for x in items] + [x.upper() for x in items] + [f"and so: {x.lower()} it was" for x in items] + ["What is 8 and add 12"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for most in (10**6, 0):
+        got = {(x["doc_id"], x["item_id"]): x["verbatim"] for x in decontam.contaminated(docs_of(spark, texts), bench, max_windows=most).collect()}
+        assert got == {(i, i % 4): True for i in range(12)}

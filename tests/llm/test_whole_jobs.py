@@ -68,3 +68,19 @@ def test_decontamination_finds_every_item_as_written(spark):
     for most in (10**6, 0):
         got = {(x["doc_id"], x["item_id"]): x["verbatim"] for x in decontam.contaminated(docs_of(spark, texts), bench, max_windows=most).collect()}
         assert got == {(i, i % 4): True for i in range(12)}
+
+
+def test_stages_decide_by_row(spark):
+    import corpus_pipeline
+    from lumenfold.llm import common
+
+    sf = "/root/testdata/sf0.001"
+    item = common.table(spark, sf, "benchmark").first()["text"]
+    kept = lambda stage, texts, ids: sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs_of(spark, texts, ids).repartition(3), sf).collect()), key=str)
+    plain = " ".join("plain%d" % i for i in range(30))
+    assert kept(corpus_pipeline.decontamination_stage, [item, plain, item, plain], [None, None, 4, 4]) == [(4, plain), (None, plain)]
+    assert kept(corpus_pipeline.ngram_join_stage, [plain, plain, plain, item, item, item], [7, 7, None, 7, None, None]) == sorted([(7, plain), (7, item)], key=str)
+    own = ["one%d two three four five six" % i + " seven%d eight%d" % (i, i) * 3 for i in range(3)]
+    texts = [f"{plain}\n{own[0]}", f"{own[1]}\n{plain}", f"{plain}\n{own[2]}"]
+    left = [t for _, t in kept(corpus_pipeline.line_dedup_stage, texts, [None, None, None])]
+    assert sorted("\n".join(left).split("\n")) == sorted([plain, *own])

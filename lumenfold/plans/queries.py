@@ -221,6 +221,13 @@ def corr_matrix(spark, sf_dir):
     return spectra.correlation(long, ["label"], "vec_id").select("label", "a", "b", r("corr", 6).alias("corr"))
 
 
+@query()
+def corr_matrix_all(spark, sf_dir):
+    """Channel pairs of every band."""
+    long = spectra.long_matrix(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["label"])
+    return spectra.correlation(long, ["label"], "vec_id").select("label", "a", "b", r("corr", 6).alias("corr"))
+
+
 @query()
 def pca_singular_values(spark, sf_dir):
     return spectra.principal_components(read(spark, sf_dir, "embeddings"), "label", "embedding", 12)

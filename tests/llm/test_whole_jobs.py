@@ -84,3 +84,11 @@ def test_stages_decide_by_row(spark):
     texts = [f"{plain}\n{own[0]}", f"{own[1]}\n{plain}", f"{plain}\n{own[2]}"]
     left = [t for _, t in kept(corpus_pipeline.line_dedup_stage, texts, [None, None, None])]
     assert sorted("\n".join(left).split("\n")) == sorted([plain, *own])
+
+
+def test_long_lines_link_across_sizes(spark):
+    r = random.Random(4)
+    long = ["k%d" % r.randrange(20_000) for _ in range(32_780)]
+    docs = docs_of(spark, [" ".join(long), " ".join(long[:32_760])])
+    for distance in (3, None):
+        assert [tuple(x) for x in line_dedup.duplicate_lines(docs, distance=distance).collect()] == [(1, 0, 0, 0)]

@@ -54,7 +54,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = line_dedup.duplicate_lines(table(spark, sf_dir, "documents"), distance=None)
+    gone = line_dedup.duplicate_lines(table(spark, sf_dir, "documents"), distance=None, grams=16)
     return gone.select(F.col("_id").alias("doc_id"), F.col("at").cast("long").alias("line"), F.col("keep_id").alias("keep_doc_id"), F.col("keep_at").cast("long").alias("keep_line"))
 
 

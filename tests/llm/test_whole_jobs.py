@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 from test_operators import components, docs_of, plain_edit
 
 from lumenfold.llm import decontam, line_dedup
@@ -92,3 +93,36 @@ def test_long_lines_link_across_sizes(spark):
     docs = docs_of(spark, [" ".join(long), " ".join(long[:32_760])])
     for distance in (3, None):
         assert [tuple(x) for x in line_dedup.duplicate_lines(docs, distance=distance).collect()] == [(1, 0, 0, 0)]
+
+
+def test_gram_blocks_find_near_lines_of_every_length(spark):
+    """By edit similarity alone: of pairs with up to a quarter of their words changed nine in ten are found, and nothing else."""
+    r = random.Random(11)
+    words = ["n%d" % i for i in range(3000)] + ["the"] * 300
+    want, lines = {}, []
+    for n in [5, 6, 7, 8, 10, 11, 12, 13, 14, 15, 18, 24, 40, 60, 90, 200] * 12:
+        line = [r.choice(words) for _ in range(n)]
+        more = list(line)
+        for at in r.sample(range(n), r.choice([1, n // 4, n // 4])):
+            more[at] = r.choice(words)
+        if 4 * plain_edit(line, more) <= n and line != more:
+            want[len(lines)] = n
+            lines += [line, more]
+    docs = docs_of(spark, [" ".join(x) for x in lines])
+    got = {(x["keep_id"], x["_id"]) for x in line_dedup.duplicate_lines(docs.repartition(4), distance=None, grams=16).collect()}
+    assert got <= {(k, k + 1) for k in want}
+    for lo, hi in ((5, 8), (8, 12), (12, 20), (20, 61), (61, 300)):
+        some = [k for k, n in want.items() if lo <= n < hi]
+        assert len(some) > 15 and sum((k, k + 1) in got for k in some) >= 0.9 * len(some), (lo, hi)
+
+
+def test_gram_blocks_on_edges_and_large_groups(spark):
+    r = random.Random(12)
+    base = ["z%d" % i for i in range(40)]
+    texts = [" ".join(base[:k] + ["y%d" % r.randrange(9999)] + base[k + 1 :]) for k in range(40) for _ in range(20)]
+    texts += [None, "", "\n \n", "one two", "One two!", " ".join(base)]
+    gone = line_dedup.duplicate_lines(docs_of(spark, texts).withColumn("block", F.lit(1)), distance=None, grams=16).collect()
+    assert {x["keep_id"] for x in gone} == {0, 803} and len(gone) == 801
+    assert line_dedup.duplicate_lines(docs_of(spark, texts).limit(0), distance=None, grams=16).count() == 0
+    same = docs_of(spark, ["a b c d e f"] * 4 + ["a b c d e x"], [None, None, 3, 3, None])
+    assert [(x["_id"], x["keep_id"]) for x in line_dedup.duplicate_lines(same, distance=None, grams=16).collect()] == [(3, None), (3, None)]

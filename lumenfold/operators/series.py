@@ -125,3 +125,13 @@ def dft_power(rows: DataFrame, by: list[str], at: str, value: str, n: int) -> Da
 def circular_mean(angle: Column) -> Column:
     """Mean direction in degrees, from 0 to 360."""
     return F.pmod(F.degrees(F.atan2(F.avg(F.sin(F.radians(angle))), F.avg(F.cos(F.radians(angle))))), F.lit(360.0))
+
+
+def decimate_masked(rows: DataFrame, by: list[str], chan: str, value: str, tsys: str, kept: str, size: int) -> DataFrame:
+    """Blocks of `size` channels: means weighted by 1 / tsys^2 over unmasked channels, and tsys_low = sqrt(size / sum(1 / tsys^2)).
+
+    A block is kept if one of its channels is and the sums are there.
+    """
+    w = F.when(F.col(kept), 1 / F.nullif(F.col(tsys) ** 2, F.lit(0.0)))
+    sums = rows.groupBy(*by, F.floor(F.col(chan) / size).cast("int").alias("low")).agg(F.count("*").alias("n"), F.bool_or(kept).alias("_any"), F.sum(w).alias("_w"), F.sum(F.col(value) * w).alias("_s"))
+    return sums.select(*by, "low", "n", (F.col("_any") & F.col("_w").isNotNull()).alias("kept"), (F.col("_s") / F.col("_w")).alias("mean"), F.sqrt(F.lit(float(size)) / F.col("_w")).alias("tsys_low"))

@@ -3,14 +3,14 @@
 Exact: texts with equal sets fold into one set first; two different sets that reach the threshold
 must share a shingle among the first n - ceil(t n) + 1 of either in any common order, so sets meet
 in the lists of those. The order puts common shingles last, by a sketch of fixed size that every
-document has counted into. Lists are dealt out as size-banded tiles; in a tile hashed bitmaps bound
-the overlap from above, and what passes is settled by intersecting the sorted arrays.
+document has counted into. Lists are dealt out as tiles by band of set size. Hashed bitmaps bound the
+overlap of every pair from above; what passes is settled by intersecting the sorted arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -74,101 +74,135 @@ def fold(maps: list[bytes], size: int) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(m, dtype=np.uint8).reshape(-1, size), axis=0) for m in maps])
 
 
+def most_common(n: int, m: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """The most that a set of n can share with sets of m: a bit that one bitmap lacks is a shingle of the other's own."""
+    return np.minimum(n - _POP[mine & ~theirs].sum(axis=1, dtype=np.int64), m - _POP[theirs & ~mine].sum(axis=1, dtype=np.int64))
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def fingerprint(tokens: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
+
+
 def _sets_and_sketch(size: int):
-    """Per document its set's size and fingerprint; per task the counts of all shingles by bucket."""
+    """Per document its set's size, fingerprint and bitmap; per task the counts of all shingles by bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        words, counts, task = WordHashes(), np.zeros(1 << SKETCH_BITS, dtype=np.int64), 0
         for batch in batches:
-            sids, ns = [], []
+            rows = []
             for text in batch["_text"]:
                 tokens = shingle_set(text, words, size)
-                counts += np.bincount(tokens & np.uint64(len(counts) - 1), minlength=len(counts)) if len(tokens) > 20_000 else 0
-                if len(tokens) <= 20_000:
-                    np.add.at(counts, (tokens & np.uint64(len(counts) - 1)).astype(np.int64), 1)
-                ns.append(len(tokens))
-                sids.append(xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None)
-            yield pd.DataFrame({"_id": batch["_id"].astype("Int64"), "n": ns, "sid": pd.array(sids, dtype="Int64"), "chunk": pd.array([None] * len(ns), dtype="Int32"), "counts": None})
+                np.add.at(counts, (tokens & np.uint64(len(counts) - 1)).astype(np.int64), 1)
+                rows.append((len(tokens), fingerprint(tokens), bitmap(tokens)) if len(tokens) else (0, None, None))
+                task = task or rows[-1][1] or 0
+            n, sids, bits = zip(*rows) if rows else ((), (), ())
+            none = pd.array([None] * len(n), dtype="Int64")
+            yield pd.DataFrame({"_id": batch["_id"].astype("Int64"), "n": n, "sid": pd.array(sids, dtype="Int64"), "bits": bits, "chunk": none.astype("Int32"), "salt": none, "counts": None})
         chunks = counts.reshape(-1, CHUNK)
-        yield pd.DataFrame({"_id": pd.array([None] * len(chunks), dtype="Int64"), "n": -1, "sid": pd.array([None] * len(chunks), dtype="Int64"), "chunk": pd.array(range(len(chunks)), dtype="Int32"), "counts": [c.astype("<i8").tobytes() for c in chunks]})
+        none = pd.array([None] * len(chunks), dtype="Int64")
+        yield pd.DataFrame({"_id": none, "n": -1, "sid": none, "bits": None, "chunk": pd.array(range(len(chunks)), dtype="Int32"), "salt": task, "counts": [c.astype("<i8").tobytes() for c in chunks]})
 
     return run
 
 
 def _add_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sum the count chunks of a partition while they stream by; memory is one sketch at most."""
-    total: dict[int, np.ndarray] = {}
+    total, salt = {}, 0
     for batch in batches:
-        for chunk, counts in zip(batch["chunk"], batch["counts"]):
+        for chunk, counts, salt in zip(batch["chunk"], batch["counts"], batch["salt"]):
             more = np.frombuffer(counts, dtype="<i8")
             total[chunk] = total[chunk] + more if chunk in total else more
-    yield pd.DataFrame({"chunk": list(total), "counts": [c.astype("<i8").tobytes() for c in total.values()]})
+    yield pd.DataFrame({"chunk": list(total), "salt": salt, "counts": [c.astype("<i8").tobytes() for c in total.values()]})
+
+
+def _summed(chunks: DataFrame) -> np.ndarray:
+    """The counts of all tasks: groups of tasks add up theirs first, then 16 tasks add up the groups'."""
+    shape = "chunk int, salt long, counts binary"
+    tasks = chunks.filter("chunk = 0").count()
+    some = chunks.repartition(max(16, tasks // 16), "salt").mapInPandas(_add_chunks, shape)
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    # 2^18 counters in 64 chunks, however large the corpus is
+    for row in some.repartition(16, "chunk").mapInPandas(_add_chunks, shape).collect():
+        counts[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] += np.frombuffer(row["counts"], dtype="<i8")
+    return counts
+
 
+def _prefixes(size: int, percent: int, sketch, most_seen: int = 200_000):
+    """Sets and their prefixes; a set that a task has just seen isn't sent again."""
 
-def _prefixes(size: int, percent: int, sketch):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counts = WordHashes(), sketch.value
+        words, counts, seen = WordHashes(), sketch.value, set()
         for batch in batches:
             sids, prefixes = [], []
             for text in batch["_text"]:
                 tokens = shingle_set(text, words, size)
-                if not len(tokens):
+                if not len(tokens) or (sid := fingerprint(tokens)) in seen:
                     continue
+                if len(seen) >= most_seen:
+                    seen.clear()
+                seen.add(sid)
                 keep = prefix_length(len(tokens), percent)
                 order = np.lexsort((tokens, counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)]))
-                sids.append(xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63))
+                sids.append(sid)
                 prefixes.append(tokens[order[:keep]].view(np.int64))
             yield pd.DataFrame({"sid": sids, "prefix": prefixes})
 
     return run
 
 
-def _bitmaps(size: int):
-    """Texts with their set's fingerprint, size and bitmap. Texts travel, not their arrays of
-    hashes: they are shorter and compress."""
+def _bounded(percent: int):
+    """Pairs that their sizes and bitmaps allow to link, with the bound of their overlap in parts of the union."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHashes()
         for batch in batches:
-            rows = []
-            for text in batch["_text"]:
-                tokens = shingle_set(text, words, size)
-                if len(tokens):
-                    rows.append((xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63), len(tokens), bitmap(tokens), text))
-            yield pd.DataFrame(rows, columns=["sid", "n", "bits", "text"])
+            bound = np.zeros(len(batch))
+            for k, (n, m, x, y) in enumerate(zip(batch["na"], batch["nb"], batch["x"], batch["y"])):
+                width = min(len(x), len(y))
+                most = int(most_common(n, m, fold([x], width), fold([y], width))[0])
+                bound[k] = most / (n + m - most) if 100 * most >= percent * (n + m - most) else -1
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "bound": bound})[bound >= 0]
 
     return run
 
 
 def _settle(size: int, percent: int):
-    """Exact test of pairs: intersect the two sorted arrays. A text that repeats in following rows is shingled once."""
+    """Exact test of stars: a hub's set stands before those of its spokes and is intersected with each.
+
+    Rows come sorted by hub and salt, the hub itself first. A text counts only if it has the set that was meant.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHashes()
-        arrays = lru_cache(maxsize=8)(lambda text: shingle_set(text, words, size))
+        words, at, hub = WordHashes(), None, None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch["x"], batch["y"]):
-                a, b = arrays(x), arrays(y)
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                same = int((b[at] == a).sum())
-                ok.append(100 * same >= percent * (len(a) + len(b) - same))
-            yield batch.loc[ok, ["a", "b"]]
+            out = []
+            for a, salt, sid, text in zip(batch["a"], batch["salt"], batch["sid"], batch["_text"]):
+                if at != (a, salt):
+                    at, hub = (a, salt), None
+                tokens = shingle_set(text, words, size)
+                if not len(tokens) or fingerprint(tokens) != sid:
+                    continue
+                if sid == a:
+                    hub = tokens
+                elif hub is not None:
+                    x, y = (tokens, hub) if len(tokens) < len(hub) else (hub, tokens)
+                    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if 100 * same >= percent * (len(x) + len(y) - same):
+                        out.append((a, sid))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
 def _tile_pairs(percent: int):
-    """Pairs of a tile that the bitmaps can't rule out. Rows come sorted by token and tile."""
+    """Pairs of a tile that the bitmaps can't rule out. Rows come sorted by token, band and tile."""
 
     def pairs(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.drop_duplicates("sid").sort_values("n")
-        n, comp, sid, side = (tile[c].to_numpy() for c in ("n", "comp", "sid", "side"))
+        n, comp, sid, side, guest = (tile[c].to_numpy() for c in ("n", "comp", "sid", "side", "guest"))
         out = []
         ends = np.searchsorted(n, n * 100 // percent, side="right")
         # rows are sorted by size, so bitmaps widen downwards: for each width, those from there on folded to it
@@ -177,12 +211,11 @@ def _tile_pairs(percent: int):
         folded = {w: (lo := int(np.searchsorted(widths, w)), fold(maps[lo:], w)) for w in np.unique(widths)}
         for i in range(len(n) - 1):
             j = np.arange(i + 1, ends[i])
-            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 2))]
+            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 2)) & ~(guest[j] & guest[i])]
             if not len(j):
                 continue
             lo, rows = folded[widths[i]]
-            mine, theirs = rows[i - lo], rows[j - lo]
-            most = np.minimum(n[i] - _POP[mine & ~theirs].sum(axis=1, dtype=np.int64), n[j] - _POP[theirs & ~mine].sum(axis=1, dtype=np.int64))
+            most = most_common(n[i], n[j], rows[i - lo], rows[j - lo])
             j = j[100 * most >= percent * (n[i] + n[j] - most)]
             out.append(pd.DataFrame({"a": np.minimum(sid[i], sid[j]), "b": np.maximum(sid[i], sid[j])}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -191,8 +224,8 @@ def _tile_pairs(percent: int):
         rest = None
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch])
-            key = rest["token"].to_numpy(), rest["tile"].to_numpy()
-            cuts = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
+            key = rest[["token", "band", "tile"]]
+            cuts = np.flatnonzero((key.iloc[1:].to_numpy() != key.iloc[:-1].to_numpy()).any(axis=1)) + 1
             for lo, hi in zip(np.r_[0, cuts[:-1]] if len(cuts) else [], cuts):
                 yield pairs(rest.iloc[lo:hi])
             rest = rest.iloc[cuts[-1] :] if len(cuts) else rest
@@ -202,12 +235,22 @@ def _tile_pairs(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    sizes = texts.select("sid", "n")
-    sized = pairs.join(sizes.withColumnsRenamed({"sid": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"sid": "b", "n": "nb"}), "b")
-    sized = sized.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    both = sized.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(_settle(size, percent), "a long, b long")
+def _own() -> list:
+    """An id as two columns without nulls, so that null ids meet in plain joins."""
+    return [F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_own")]
+
+
+def _verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, size: int, percent: int, spokes: int = 1000) -> DataFrame:
+    """The pairs that link. A pair's smaller end is a hub; its spokes travel to it once each, as texts,
+    which are shorter than arrays of hashes. A hub of many spokes has several salts and stands by each."""
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / spokes).cast("int").alias("parts"))
+    dealt = pairs.join(many, "a").select("a", F.col("b").alias("sid"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
+    hubs = many.select("a", F.col("a").alias("sid"), F.explode(F.expr("sequence(0, parts - 1)")).alias("salt"))
+    asked = materialize(dealt.unionByName(hubs).join(named.select("sid", F.col("lowest").alias("_id")), "sid").select(*_own(), "a", "salt", "sid"))
+    # where that table is small Spark broadcasts it, by the size of its files; else texts are shuffled by id
+    rows = texts.select(*_own(), "_text").join(asked, ["_none", "_own"]).select("a", "salt", "sid", "_text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("sid") != F.col("a"), "sid")
+    return materialize(rows.mapInPandas(_settle(size, percent), "a long, b long").distinct())
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, tile_rows: int = 512) -> DataFrame:
@@ -219,63 +262,67 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an id are rows of their own. A null id never names a component unless all of it are null.
     An empty table gives an empty result; other columns are ignored.
 
-    Links inside a group that is already connected aren't needed, so a list's sets are first
-    compared with the list's smallest set only; then all pairs across the remaining components
-    are, in tiles of tile_rows, so none that could join two components is missed.
+    Links inside a group that is already connected aren't needed, so each set first meets the one
+    smallest set of its lists that it may be nearest to; then all pairs of a list across the
+    components that remain meet in tiles: by band of set size, a set standing in its own band and as
+    a guest in the next, and beyond tile_rows by hash. None that could join two components is missed.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    first = materialize(texts.mapInPandas(_sets_and_sketch(size), "_id long, n long, sid long, chunk int, counts binary"))
+    first = materialize(texts.mapInPandas(_sets_and_sketch(size), "_id long, n long, sid long, bits binary, chunk int, salt long, counts binary"))
     sets = first.filter("chunk is null").select("_id", "n", "sid")
-    chunks = first.filter("chunk is not null").select("chunk", "counts")
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    # 2^18 counters in 64 chunks, however large the corpus is
-    for row in chunks.repartition(16, "chunk").mapInPandas(_add_chunks, "chunk int, counts binary").collect():
-        counts[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] += np.frombuffer(row["counts"], dtype="<i8")
-    sketch = spark.sparkContext.broadcast(counts)
+    sketch = spark.sparkContext.broadcast(_summed(first.filter("chunk is not null").select("chunk", "salt", "counts")))
+    named = first.filter("sid is not null").groupBy("sid").agg(F.min("_id").alias("lowest"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    named = materialize(named)
 
-    # A list holds each set once at most, so a list's share of all rows is that of its sets
-    # divided by the length of their prefixes: no list is hot even if one text fills the corpus.
+    # A set is in a list once for each task at most, so a list's share of all rows is that of its
+    # sets divided by the length of their prefixes: no list is hot even if one text fills the corpus.
     prefixes = texts.mapInPandas(_prefixes(size, percent, sketch), "sid long, prefix array<long>")
     rows = prefixes.select("sid", F.explode("prefix").alias("token"))
     by_token = Window.partitionBy("token").orderBy("sid")
     marked = rows.withColumn("before", F.lag("sid").over(by_token)).withColumn("after", F.lead("sid").over(by_token)).withColumn("pivot", F.first("sid").over(by_token))
-    lists = materialize(
-        marked.filter("before is not null or after is not null").filter("before is null or before <> sid").select("token", "sid", "pivot")
-    )
-    pairs = materialize(lists.filter("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
-    named = materialize(sets.filter("sid is not null").groupBy("sid").agg(F.min("_id").alias("lowest"), F.max("n").alias("n")))
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    own = [F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_own")]  # without nulls, so that null ids meet in a plain join
-    asked = named.join(wanted, "sid", "left_semi").select(F.col("lowest").alias("_id")).select(*own).distinct()
-    # texts are shuffled by id once; rows that repeat an id and a text fold where they meet
-    met = texts.select(*own, "_text", F.xxhash64("_text").alias("_h"), F.xxhash64(F.lit(1), "_text").alias("_h2")).join(asked, ["_none", "_own"], "left_semi")
-    met = met.dropDuplicates(["_none", "_own", "_h", "_h2"]).select("_text")
-    found = materialize(met.mapInPandas(_bitmaps(size), "sid long, n long, bits binary, text string"))
-    # texts of one id that differ but have the same set stay, and are compared once each
-    links = materialize(_verified(pairs, found, size, percent))
+    lists = marked.filter("pivot <> sid or after is not null").filter("before is null or before <> sid")
+    lists = materialize(lists.select("token", "sid", "pivot"))
+
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        x, y = (named.select(F.col("sid").alias(e), F.col("n").alias("n" + e), F.col("bits").alias(v)) for e, v in (("a", "x"), ("b", "y")))
+        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+        return pairs.join(y, "b").join(x, "a").filter(fits).select("a", "b", "na", "nb", "x", "y")
+
+    pairs = lists.filter("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
+    may = ends_of(pairs).mapInPandas(_bounded(percent), "a long, b long, bound double")
+    nearest = materialize(may.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
+    links = _verified(nearest, named, texts, size, percent)
     once = materialize(connected_components(links, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("comp")))
+
     labelled = lists.select("token", "sid").join(once, "sid", "left").select("token", "sid", F.coalesce("comp", "sid").alias("comp"))
     open_lists = (
         labelled.groupBy("token")
         .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.hash("sid").cast("long")).alias("s"))
         .filter("lo <> hi").groupBy("size", "x", "s").agg(F.min("token").alias("token"))  # lists of the same sets are one
-        .withColumn("blocks", F.ceil(F.col("size") / (tile_rows // 2)).cast("int"))
     )
-    members = (
-        labelled.join(open_lists.select("token", "blocks"), "token")
+    # sets that may link are at most one band apart
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) * (1 + 1e-6))).cast("int")
+    members = labelled.join(open_lists.select("token"), "token").join(named.select("sid", "n"), "sid")
+    members = members.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", band + F.col("guest").cast("int"))
+    members = materialize(members.select("token", "band", "sid", "comp", "guest"))
+    open_bands = (
+        members.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bool_and("guest").alias("guests"))
+        .filter("lo <> hi and not guests").select("token", "band", F.ceil(F.col("size") / (tile_rows // 2)).cast("int").alias("blocks"))
+    )
+    tiles = (
+        members.join(open_bands, ["token", "band"])
         .withColumn("own", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("token", "sid", "comp", F.concat_ws(":", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
+        .select("token", "band", "sid", "comp", "guest", (F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")).alias("tile"),
                 F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-        .join(found.select("sid", "n", "bits"), "sid")
+        .join(named.select("sid", "n", "bits"), "sid").repartition("token", "band", "tile").sortWithinPartitions("token", "band", "tile")
     )
-    tiles = members.repartition("token", "tile").sortWithinPartitions("token", "tile")
-    more = tiles.select("token", "tile", "sid", "comp", "side", "n", "bits").mapInPandas(_tile_pairs(percent), "a long, b long").distinct()
-    late = _verified(materialize(more), found, size, percent)
+    more = tiles.select("token", "band", "tile", "sid", "comp", "guest", "side", "n", "bits").mapInPandas(_tile_pairs(percent), "a long, b long").distinct()
+    late = _verified(materialize(more), named, texts, size, percent)
     late = late.join(once.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a", "left").join(once.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b", "left")
     twice = connected_components(late.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b").select(F.col("node").alias("comp"), F.col("component").alias("final"))
-    ends = named.join(once, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).join(twice, "comp", "left").select("sid", "lowest", F.coalesce("final", "comp").alias("comp"))
+    ends = named.select("sid", "lowest").join(once, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).join(twice, "comp", "left").select("sid", "lowest", F.coalesce("final", "comp").alias("comp"))
     ends = materialize(ends)
     lowest = ends.groupBy("comp").agg(F.min("lowest").alias("component_id"))
     final = ends.join(lowest, "comp").select("sid", "component_id")

@@ -1,8 +1,9 @@
 """PII: base patterns, and bootstrapped contextual extraction on top. DataFrame functions only.
 
 Base matches seed a graph between lexical patterns (kind and the two words before a span) and
-instances (the text of a span). Spark scores both sides in turn; patterns of high confidence mark
-further spans that have a loose identifier shape but escape the base patterns.
+instances (the text of a span). Spark scores both sides in turn; patterns of high confidence disclose
+further identifiers, spans of a loose shape that escape the base patterns, and those induce further
+patterns wherever else they stand.
 """
 
 from __future__ import annotations
@@ -104,35 +105,49 @@ def span_text(spans: Column) -> Column:
 
 
 def _context(text: Column, start: Column) -> Column:
-    """The two words before a place, in lower case; null if there are fewer."""
-    before = F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40)))
-    words = F.filter(F.split(F.lower(before), r"[^\p{L}]+", -1), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))
+    """The two words before a place, in lower case; null if there are fewer. Looks back only as far as it takes to see both whole."""
+    def words(reach: Column) -> Column:
+        before = F.substring(text, F.greatest(start - reach + 1, F.lit(1)), F.least(start, reach))
+        return F.filter(F.split(F.lower(before), r"[^\p{L}]+", -1), lambda w: w != "")
+
+    def last_two(seen: Column) -> Column:
+        return F.when(F.size(seen) >= 2, F.array_join(F.slice(seen, -2, 2), " "))
+
+    # a third word, which may be cut, shows that the last two are whole
+    near, far = words(F.lit(40)), words(F.lit(400))
+    return F.when((start <= 40) | (F.size(near) >= 3), last_two(near)).when((start <= 400) | (F.size(far) >= 3), last_two(far)).otherwise(last_two(words(start)))
 
 
 def learned_spans(found: DataFrame, least_support: int, least_confidence: float, rounds: int) -> DataFrame:
     """Spans that confident patterns add: the row key, start, rank and end.
 
-    A pattern's confidence for a kind is the mean confidence of its instances, where it has
-    least_support different seeds of that kind; an instance's is 1 for a seed, 0 for a seed of
-    another kind, and else the best of its patterns'. Both are updated `rounds` times.
+    A pattern counts for a kind where it has least_support different identifiers of that kind, seeds
+    or found ones with a belief of least_confidence or more; its confidence is the mean belief in
+    all its instances. The belief in a seed is 1 for its kind and 0 for others, that in another
+    instance is the confidence of the best of its patterns. Both are updated `rounds` times, so
+    identifiers found in one round induce patterns in the next. Of kinds that are believed alike
+    the first of KINDS is taken.
     """
     seeds = found.select(F.explode("base").alias("s"), "clean").select("s.rank", "s.value", _context(F.col("clean"), F.col("s.start")).alias("pattern")).filter("pattern is not null")
     loose = found.select("_id", "mark", "clean", F.explode("loose").alias("s")).select("_id", "mark", "s.start", "s.end", "s.value", _context(F.col("clean"), F.col("s.start")).alias("pattern")).filter("pattern is not null")
-    loose, seeds = materialize(loose), materialize(seeds.groupBy("rank", "value", "pattern").agg(F.count("*").alias("times")))
-    support = seeds.groupBy("rank", "pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= least_support)
-    all_seeds = seeds.groupBy("pattern").agg(F.count("*").alias("known"))
-    edges = materialize(loose.groupBy("pattern", "value").agg(F.count("*").alias("times")).join(support, "pattern").join(all_seeds, "pattern"))
-    believed = edges.select("rank", "value").distinct().withColumn("belief", F.lit(0.0))
+    loose, seeds = materialize(loose), seeds.groupBy("rank", "value", "pattern").agg(F.count("*").alias("times"))
+    by_kind = materialize(seeds.groupBy("rank", "pattern").agg(F.count("*").alias("seeds")))
+    edges = materialize(loose.groupBy("pattern", "value").agg(F.count("*").alias("times")))
+    sizes = by_kind.select("pattern", F.col("seeds").alias("n")).unionByName(edges.select("pattern", F.lit(1).cast("long").alias("n"))).groupBy("pattern").agg(F.sum("n").alias("all"))
+    sizes = materialize(sizes)
+    believed = None
     for _ in range(rounds):
-        patterns = edges.join(believed, ["rank", "value"]).groupBy("rank", "pattern").agg(((F.max("seeds") + F.sum("belief")) / (F.max("known") + F.count("*"))).alias("confidence"))
-        believed = edges.join(patterns, ["rank", "pattern"]).groupBy("rank", "value").agg(F.max("confidence").alias("belief"))
-        believed = materialize(believed)
-    sure = believed.filter(F.col("belief") >= least_confidence).groupBy("value").agg(F.max_by("rank", "belief").alias("rank"))
+        known = by_kind.select("rank", "pattern", F.col("seeds").cast("double").alias("belief"), "seeds")
+        if believed is not None:
+            more = believed.join(edges, "value").select("rank", "pattern", "belief", (F.col("belief") >= least_confidence).cast("long").alias("seeds"))
+            known = known.unionByName(more).groupBy("rank", "pattern").agg(F.sum("belief").alias("belief"), F.sum("seeds").alias("seeds"))
+        patterns = known.filter(F.col("seeds") >= least_support).join(sizes, "pattern").select("rank", "pattern", (F.col("belief") / F.col("all")).alias("confidence"))
+        believed = materialize(patterns.join(edges, "pattern").groupBy("rank", "value").agg(F.max("confidence").alias("belief")))
+    sure = believed.filter(F.col("belief") >= least_confidence).groupBy("value").agg(F.max_by("rank", F.struct("belief", -F.col("rank"))).alias("rank"))
     return loose.join(sure, "value").select("_id", "mark", "start", "rank", "end").distinct()
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_support: int = 5, least_confidence: float = 0.5, rounds: int = 3) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_support: int = 5, least_confidence: float = 0.5, rounds: int = 4) -> DataFrame:
     """Per row of docs: id_col, base and spans, arrays of (start, rank, end) in code points.
 
     rank is the place of the kind in KINDS. base holds what the base patterns find in the whole

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +14,22 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+_SCOPES: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in spark.checkpoint.dir; only where that is unset
-    (tests, one machine) a temporary folder is made and set for the session.
+    It is what the cluster names in spark.checkpoint.dir. Only a session on this machine alone
+    (master local) may do without: there a temporary folder is made and set for the session.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir()
-        if not named:
-            named = tempfile.mkdtemp(prefix="lumenfold-")
-            spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/lumenfold-{spark.sparkContext.applicationId}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="lumenfold-")
+        spark.sparkContext.setCheckpointDir(named)
+    return "/".join([named.rstrip("/"), f"lumenfold-{spark.sparkContext.applicationId}", *_SCOPES])
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -39,11 +44,34 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def purge_scratch(spark: SparkSession) -> None:
-    """Delete this session's intermediate tables, once all results that use them are written."""
+    """Delete this session's intermediate tables (in `scratch`: those of the block), once all results that use them are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside the block are deleted at its end: results must be written by then."""
+    _SCOPES.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        purge_scratch(spark)
+        _SCOPES.pop()
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined (inner) with side, which has one row for each value of keys and, as `size`, how many of rows it meets.
+
+    Values that hold more than a thousandth of `total` rows, of which there are fewer than a
+    thousand, are broadcast, so that no task gets all rows of one; the others meet by a shuffle.
+    Keys must not be null.
+    """
+    hot = F.col(size) * 1000 > total
+    few, many = F.broadcast(side.filter(hot)), side.filter(~hot)
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(side.filter(hot).select(*keys)), keys, "left_anti").join(many, keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize
+from .common import SPACES, join_hot, materialize
 
 
 def normalised(text: Column) -> Column:
@@ -23,7 +23,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hash; rows proven unique before have none unless digest_all is set, which takes the digest of
     every row while its text is read first. Rows that repeat an id are rows of their own: if they
     are equal, both carry the same keep_id and exactly one of each set of full copies is kept.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. Ids may be of any type that can be
+    ordered. With digest_all nothing is saved by refinement but shuffles of digests: who wants every
+    row's digest reads every text for it.
     """
     norm = normalised(F.col(text_col))
     keys = docs.select(
@@ -45,16 +47,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         surviving = texts.join(heads, ["length", "head"], "left_semi").select("_id", "points", "length", "head", F.unhex(F.sha2("norm", 256)).alias("digest"))
         surviving = materialize(surviving)
         alone = keys.join(heads, ["length", "head"], "left_anti")
-    groups = (
-        surviving.groupBy("length", "digest")
-        .agg(F.count("*").alias("group_size"), F.max(F.struct("points", -F.col("_id"))).alias("best"))
-        .select("length", "digest", "group_size", F.col("best.points").alias("most"), (-F.col("best.col2")).alias("keep_id"))
-    )
+    order = F.struct((-F.col("points")).alias("most"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
+    groups = surviving.groupBy("length", "digest").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
+    groups = materialize(groups.select("length", "digest", "group_size", "best"))
     # rows that repeat both id and text are counted, so that one of them stays
     copies = surviving.groupBy("_id", "points", "length", "digest").agg(F.count("*").alias("times"))
     judged = (
-        copies.join(groups, ["length", "digest"])
-        .withColumn("best", F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("most")))
+        join_hot(copies, groups, ["length", "digest"], "group_size", keys.count())
+        .withColumn("keep_id", F.col("best.id")).withColumn("best", F.col("_id").eqNullSafe(F.col("best.id")) & (-F.col("points") == F.col("best.most")))
         .withColumn("kept", F.explode(F.expr("transform(sequence(1, cast(times as int)), i -> best and i = 1)")))
         .select("_id", "keep_id", "group_size", "kept", "digest")
     )

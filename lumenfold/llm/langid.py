@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 BITS = 16
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -112,14 +112,17 @@ def identify_languages(
     prior = [m / sum(mass) for m in mass]
 
     def trust(column: str) -> DataFrame:
-        seen = scored.groupBy(column).agg(*sums)
-        return seen.select(column, F.array(*[F.when(F.col(column) == "", 0.0).otherwise(F.log((F.col(f"p{i}") + 0.5) / (mass[i] + 0.5 * (k + 1)))) for i in range(k)]).alias(f"{column}_log"))
+        seen = scored.groupBy(column).agg(*sums, F.count("*").alias("_n"))
+        return seen.select(column, "_n", F.array(*[F.when(F.col(column) == "", 0.0).otherwise(F.log((F.col(f"p{i}") + 0.5) / (mass[i] + 0.5 * (k + 1)))) for i in range(k)]).alias(f"{column}_log"))
 
-    hosts = scored.groupBy("host", "domain").agg(*sums)
+    hosts = scored.groupBy("host", "domain").agg(*sums, F.count("*").alias("pages"))
     domains = hosts.groupBy("domain").agg(*[F.sum(f"p{i}").alias(f"d{i}") for i in range(k)])
-    joined = (
-        scored.join(hosts, ["host", "domain"]).join(domains, "domain").join(trust("declared"), "declared").join(trust("suffix"), "suffix")
-    )
+    hosts = materialize(hosts.join(domains, "domain"))
+    # one host, or one value of the others, may hold a third of all pages
+    n_pages = int(hosts.agg(F.sum("pages")).first()[0] or 0)
+    joined = join_hot(scored, hosts, ["host", "domain"], "pages", n_pages)
+    for column in ("declared", "suffix"):
+        joined = join_hot(joined, materialize(trust(column)), [column], "_n", n_pages).drop("_n")
     n_dom, n_host = sum(F.col(f"d{i}") for i in range(k)), sum(F.col(f"p{i}") for i in range(k))
     logs = []
     for i in range(k):

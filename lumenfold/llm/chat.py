@@ -152,7 +152,7 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def conversations_as_trees(conversations: DataFrame) -> DataFrame:
-    """Linear conversations as reply trees: each turn answers the one before it.
+    """Linear conversations as reply trees: each turn answers the one before it and scores its length.
 
     Order is turn, then role, then text, nulls first, so repeated rows become turns of their own.
     Rows with a null conv_id belong to no conversation.
@@ -161,5 +161,5 @@ def conversations_as_trees(conversations: DataFrame) -> DataFrame:
     at = conversations.filter("conv_id is not null").withColumn("at", F.row_number().over(order).cast("long"))
     return at.select(
         F.col("conv_id").alias("tree_id"), F.col("at").alias("message_id"),
-        F.when(F.col("at") > 1, F.col("at") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"),
+        F.when(F.col("at") > 1, F.col("at") - 1).alias("parent_id"), "role", "text", F.length(F.coalesce("text", F.lit(""))).cast("double").alias("score"),
     )

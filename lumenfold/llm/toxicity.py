@@ -73,7 +73,8 @@ def fit_toxicity(labelled: DataFrame, max_rows: int = 12_000, fit_rows: int = 4_
     is the share of toxic rows, 0 without any rows.
     """
     spark = labelled.sparkSession
-    rows = labelled.filter("label is not null").select("text", F.col("label").cast("int").alias("label")).persist()
+    rows = labelled.filter("label is not null").select("text", F.col("label").cast("int").alias("label"))
+    rows = rows.orderBy(F.xxhash64(F.lit(5), "text"), "label").limit(max_rows).persist()
     stats = rows.mapInPandas(_class_counts, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     sums = stats[stats.bucket < 0]
     clean, toxic = (int(sums.clean.iloc[0]), int(sums.toxic.iloc[0])) if len(sums) else (0, 0)

@@ -235,6 +235,14 @@ def test_pii_base_spans_against_python(spark):
     assert got == {i: brute_pii(t) for i, t in enumerate(texts)}
 
 
+def test_jaccard_of_hot_short_texts_and_null_ids(spark):
+    texts = ["one two three"] * 300 + ["one two four", None, None, "one two three"]
+    ids = [*range(300), 300, None, None, None]
+    got = [tuple(r) for r in ngram_join.jaccard_components(docs_of(spark, texts, ids).repartition(6)).collect()]
+    assert sorted(got, key=str) == sorted([(i, 1, 0) for i in range(300)] + [(300, 1, 300), (None, 0, None), (None, 0, None), (None, 1, 0)], key=str)
+    assert ngram_join.jaccard_components(docs_of(spark, texts).limit(0)).count() == 0
+
+
 def test_pii_learns_contexts(spark):
     texts = [f"please call us {'on' if i % 2 else 'at'} +1 555 {100 + i} 4{i:03d} now" for i in range(20)]
     texts += ["please call us on 555 0199 777 now", "there were 1234567890 of them"]
@@ -242,6 +250,35 @@ def test_pii_learns_contexts(spark):
     assert out[20] == "phone:18:30" and out[21] == ""
 
 
+def test_pii_found_identifiers_induce_patterns(spark):
+    number = lambda i: f"555 7{i:02d} 90{i % 10}"  # noqa: E731  too short for the base pattern
+    texts = [f"please call us on +1 555 {100 + i} 4{i:03d} now" for i in range(20)]
+    texts += [f"please call us on {number(i)} now" for i in range(8)]  # found by the seeds' pattern
+    texts += [f"{'x' * 500} my extension {' ' * 60} {number(i)}" for i in range(8)]  # the same ones induce another, words far off
+    texts += ["so my extension 555 799 909 rang", "rows of figures 555 123 456 here"]
+    out = {x["doc_id"]: x["s"] for x in pii.find_pii(docs_of(spark, texts).repartition(3)).select("doc_id", pii.span_text(F.col("spans")).alias("s")).collect()}
+    assert all(out[i] for i in range(37)) and out[36] == "phone:16:27" and out[37] == ""
+    assert pii.find_pii(docs_of(spark, texts).limit(0)).count() == 0
+    odd = docs_of(spark, ["a@b.c", "a@b.c", None], [None, None, 3]).withColumn("mark", F.lit(1)).withColumn("loose", F.lit(2))
+    assert sorted(x["s"] for x in pii.find_pii(odd).select(pii.span_text(F.col("spans")).alias("s")).collect()) == ["", "email:0:5", "email:0:5"]
+
+
+def test_exact_duplicates_of_text_ids_and_hot_groups(spark):
+    rows = [(f"k{i}", "same text") for i in range(40)] + [(None, "same  text"), (None, "other"), ("z", "other"), ("a", "Other")]
+    got = {(r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(spark.createDataFrame(rows, "id string, text string"), "id").collect()}
+    assert got == {(f"k{i}", None, 41, False) for i in range(40)} | {(None, None, 41, True), (None, "z", 2, False), ("z", "z", 2, True), ("a", "a", 1, True)}
+
+
+def test_scratch_tables_of_a_block_are_deleted(spark):
+    from pathlib import Path
+
+    with common.scratch(spark):
+        frame = common.materialize(spark.range(5))
+        folder = Path(common.scratch_dir(spark))
+        assert frame.count() == 5 and any(folder.iterdir())
+    assert not folder.exists()
+
+
 def test_mixing_rates_and_repeatability(spark):
     docs = docs_of(spark, ["t"] * 4000).withColumn("source", F.when(F.col("doc_id") % 4 == 0, "a").when(F.col("doc_id") % 4 == 1, None).otherwise("b"))
     out = mixing.mix_sources(docs, {"a": 0.5, "zzz": 0.0}, seed=1)

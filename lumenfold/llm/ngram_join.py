@@ -62,8 +62,8 @@ def shingle_set(text: str | None, words: WordHashes, size: int) -> np.ndarray:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """A hashed bitmap of about two bits a token, a power of two wide, 64 bits at least."""
-    bits = max(64, 1 << int(np.ceil(np.log2(2 * len(tokens)))))
+    """A hashed bitmap of eight bits a token or more, a power of two wide, 64 bits at least."""
+    bits = max(64, 1 << int(np.ceil(np.log2(8 * len(tokens)))))
     flags = np.zeros(bits, dtype=bool)
     flags[(tokens >> np.uint64(7)) & np.uint64(bits - 1)] = True
     return np.packbits(flags, bitorder="little").tobytes()
@@ -197,40 +197,53 @@ def _settle(size: int, percent: int):
     return run
 
 
-def _tile_pairs(percent: int):
-    """Pairs of a tile that the bitmaps can't rule out. Rows come sorted by token, band and tile."""
-
-    def pairs(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.drop_duplicates("sid").sort_values("n")
-        n, comp, sid, side, guest = (tile[c].to_numpy() for c in ("n", "comp", "sid", "side", "guest"))
-        out = []
-        ends = np.searchsorted(n, n * 100 // percent, side="right")
-        # rows are sorted by size, so bitmaps widen downwards: for each width, those from there on folded to it
-        maps = tile["bits"].tolist()
-        widths = np.array([len(m) for m in maps])
-        folded = {w: (lo := int(np.searchsorted(widths, w)), fold(maps[lo:], w)) for w in np.unique(widths)}
-        for i in range(len(n) - 1):
-            j = np.arange(i + 1, ends[i])
-            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 2)) & ~(guest[j] & guest[i])]
-            if not len(j):
-                continue
-            lo, rows = folded[widths[i]]
-            most = most_common(n[i], n[j], rows[i - lo], rows[j - lo])
-            j = j[100 * most >= percent * (n[i] + n[j] - most)]
-            out.append(pd.DataFrame({"a": np.minimum(sid[i], sid[j]), "b": np.maximum(sid[i], sid[j])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+def narrowed(bits: int, wide: int, width: int) -> int:
+    """A bitmap of `wide` bits, held as a number, folded by OR to `width` bits."""
+    while wide > width:
+        wide //= 2
+        bits = (bits >> wide) | (bits & ((1 << wide) - 1))
+    return bits
+
+
+def _tile_pairs(percent: int, most_seen: int = 500_000):
+    """Pairs of a tile that the bitmaps can't rule out. Rows come sorted by token, band and tile; a pair
+    that a task has just compared in another tile isn't compared again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        at, tile, seen = None, [], set()
+
+        def meet(rows: list) -> list[tuple[int, int]]:
+            found, rows = [], sorted({r[0]: r for r in rows}.values(), key=lambda r: r[1])
+            maps = [int.from_bytes(r[5], "little") for r in rows]
+            for i, (sid, n, comp, side, guest, bits) in enumerate(rows):
+                width = 8 * len(bits)
+                for j in range(i + 1, len(rows)):
+                    other = rows[j]
+                    if other[1] * percent > n * 100:
+                        break
+                    if other[2] == comp or (side != 2 and other[3] == side) or (guest and other[4]):
+                        continue
+                    pair = (sid, other[0]) if sid < other[0] else (other[0], sid)
+                    if pair in seen:
+                        continue
+                    if len(seen) >= most_seen:
+                        seen.clear()
+                    seen.add(pair)
+                    theirs = narrowed(maps[j], 8 * len(other[5]), width)
+                    most = min(n - (maps[i] & ~theirs).bit_count(), other[1] - (theirs & ~maps[i]).bit_count())
+                    if 100 * most >= percent * (n + other[1] - most):
+                        found.append(pair)
+            return found
+
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch])
-            key = rest[["token", "band", "tile"]]
-            cuts = np.flatnonzero((key.iloc[1:].to_numpy() != key.iloc[:-1].to_numpy()).any(axis=1)) + 1
-            for lo, hi in zip(np.r_[0, cuts[:-1]] if len(cuts) else [], cuts):
-                yield pairs(rest.iloc[lo:hi])
-            rest = rest.iloc[cuts[-1] :] if len(cuts) else rest
-        if rest is not None and len(rest):
-            yield pairs(rest)
+            out = []
+            for token, band, part, *row in zip(*(batch[c].tolist() for c in ("token", "band", "tile", "sid", "n", "comp", "side", "guest", "bits"))):
+                if at != (token, band, part):
+                    out += meet(tile)
+                    at, tile = (token, band, part), []
+                tile.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(meet(tile), columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -247,8 +260,8 @@ def _verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, size: int, p
     dealt = pairs.join(many, "a").select("a", F.col("b").alias("sid"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     hubs = many.select("a", F.col("a").alias("sid"), F.explode(F.expr("sequence(0, parts - 1)")).alias("salt"))
     asked = materialize(dealt.unionByName(hubs).join(named.select("sid", F.col("lowest").alias("_id")), "sid").select(*_own(), "a", "salt", "sid"))
-    # where that table is small Spark broadcasts it, by the size of its files; else texts are shuffled by id
-    rows = texts.select(*_own(), "_text").join(asked, ["_none", "_own"]).select("a", "salt", "sid", "_text")
+    # texts are shuffled by id, at every size alike
+    rows = texts.select(*_own(), "_text").join(asked.hint("merge"), ["_none", "_own"]).select("a", "salt", "sid", "_text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("sid") != F.col("a"), "sid")
     return materialize(rows.mapInPandas(_settle(size, percent), "a long, b long").distinct())
 
@@ -308,16 +321,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = materialize(members.select("token", "band", "sid", "comp", "guest"))
     open_bands = (
         members.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bool_and("guest").alias("guests"))
-        .filter("lo <> hi and not guests").select("token", "band", F.ceil(F.col("size") / (tile_rows // 2)).cast("int").alias("blocks"))
+        .filter("lo <> hi and not guests").select("token", "band", "lo", F.ceil(F.col("size") / (tile_rows // 2)).cast("int").alias("blocks"))
     )
     tiles = (
         members.join(open_bands, ["token", "band"])
         .withColumn("own", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("token", "band", "sid", "comp", "guest", (F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")).alias("tile"),
+        .select("token", "band", "lo", "sid", "comp", "guest", (F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")).alias("tile"),
                 F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-        .join(named.select("sid", "n", "bits"), "sid").repartition("token", "band", "tile").sortWithinPartitions("token", "band", "tile")
+        .join(named.select("sid", "n", "bits"), "sid")
     )
+    # lists of one family begin with one component and go to the same few tasks, where their pairs fold
+    tiles = tiles.repartition("lo", F.pmod(F.xxhash64("token", "tile"), F.lit(4))).sortWithinPartitions("token", "band", "tile")
     more = tiles.select("token", "band", "tile", "sid", "comp", "guest", "side", "n", "bits").mapInPandas(_tile_pairs(percent), "a long, b long").distinct()
     late = _verified(materialize(more), named, texts, size, percent)
     late = late.join(once.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a", "left").join(once.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b", "left")

@@ -149,7 +149,7 @@ def _prefixes(size: int, percent: int, sketch, most_seen: int = 200_000):
                 order = np.lexsort((tokens, counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)]))
                 sids.append(sid)
                 prefixes.append(tokens[order[:keep]].view(np.int64))
-            yield pd.DataFrame({"sid": sids, "prefix": prefixes})
+            yield pd.DataFrame({"sid": pd.Series(sids, dtype="int64"), "prefix": pd.Series(prefixes, dtype=object)})
 
     return run
 
@@ -276,7 +276,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     An empty table gives an empty result; other columns are ignored.
 
     Links inside a group that is already connected aren't needed, so each set first meets the one
-    smallest set of its lists that it may be nearest to; then all pairs of a list across the
+    of its lists' pivots that it may be nearest to; then all pairs of a list across the
     components that remain meet in tiles: by band of set size, a set standing in its own band and as
     a guest in the next, and beyond tile_rows by hash. None that could join two components is missed.
     """
@@ -295,14 +295,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_token = Window.partitionBy("token").orderBy("sid")
     marked = rows.withColumn("before", F.lag("sid").over(by_token)).withColumn("after", F.lead("sid").over(by_token)).withColumn("pivot", F.first("sid").over(by_token))
     lists = marked.filter("pivot <> sid or after is not null").filter("before is null or before <> sid")
-    lists = materialize(lists.select("token", "sid", "pivot"))
+    lists = materialize(lists.select("token", "sid"))
+    # A list's pivot is the set that is in most lists: what others were copied from shares more with each than they do
+    shared = lists.groupBy("sid").agg(F.count("*").alias("lists"))
+    central = lists.join(shared, "sid").groupBy("token").agg(F.max(F.struct("lists", "sid"))["sid"].alias("pivot"))
 
     def ends_of(pairs: DataFrame) -> DataFrame:
         x, y = (named.select(F.col("sid").alias(e), F.col("n").alias("n" + e), F.col("bits").alias(v)) for e, v in (("a", "x"), ("b", "y")))
         fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
         return pairs.join(y, "b").join(x, "a").filter(fits).select("a", "b", "na", "nb", "x", "y")
 
-    pairs = lists.filter("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
+    pairs = lists.join(central, "token").filter("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
     may = ends_of(pairs).mapInPandas(_bounded(percent), "a long, b long, bound double")
     nearest = materialize(may.groupBy("b").agg(F.max(F.struct("bound", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
     links = _verified(nearest, named, texts, size, percent)

@@ -72,6 +72,14 @@ def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], size: str, total
     return rows.join(few, keys).unionByName(rows.join(F.broadcast(side.filter(hot).select(*keys)), keys, "left_anti").join(many, keys))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

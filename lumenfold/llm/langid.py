@@ -84,7 +84,7 @@ def identify_languages(
                 out.append(score - score.max())
             frame = batch.drop(columns="_html")
             frame["_id"] = frame["_id"].astype("Int64")
-            frame["loglik"] = out
+            frame["loglik"] = pd.Series(out, dtype=object, index=frame.index)
             yield frame
 
     url = F.lower(F.coalesce(url_col, F.lit("")))

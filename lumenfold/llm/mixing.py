@@ -7,6 +7,8 @@ from math import exp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the MD5 of the parts' text: its first 52 bits."""
@@ -61,7 +63,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = 0, id_co
     times = count(rest)
     for source, rate in sorted(rates.items()):
         times = F.when(F.col(source_col).eqNullSafe(F.lit(source)), count(rate)).otherwise(times)
-    copies = docs.withColumn("_lf_times", times).filter("_lf_times > 0")
-    copies = copies.withColumn("copy", F.explode(F.expr("sequence(0, _lf_times - 1)"))).drop("_lf_times")
+    n = free_name(docs, "_lf_times")
+    copies = docs.withColumn(n, times).filter(F.col(n) > 0)
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n)
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order {seed}"), ids, F.col("copy").cast("string"))))
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")

@@ -68,7 +68,7 @@ def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     buckets, shapes = Buckets(), {}
     for batch in batches:
         rows = [text_features(t, buckets, shapes) for t in batch["text"]]
-        yield pd.DataFrame({"grade": batch["grade"], "index": [r[0] for r in rows], "value": [r[1] for r in rows]})
+        yield pd.DataFrame({"grade": batch["grade"].to_numpy(), "index": pd.Series([r[0] for r in rows], dtype=object), "value": pd.Series([r[1] for r in rows], dtype=object)})
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

@@ -59,7 +59,7 @@ def _selected(chosen):
         flags, keep = np.zeros(1 << BITS, dtype=bool), chosen.value
         for batch in batches:
             found = [b[keep[b]].astype(np.int32) for b in (ngram_buckets(t, flags) for t in batch["text"])]
-            yield pd.DataFrame({"label": batch["label"], "buckets": found})
+            yield pd.DataFrame({"label": batch["label"].to_numpy(), "buckets": pd.Series(found, dtype=object)})
 
     return run
 

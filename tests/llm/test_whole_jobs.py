@@ -126,3 +126,17 @@ def test_gram_blocks_on_edges_and_large_groups(spark):
     assert line_dedup.duplicate_lines(docs_of(spark, texts).limit(0), distance=None, grams=16).count() == 0
     same = docs_of(spark, ["a b c d e f"] * 4 + ["a b c d e x"], [None, None, 3, 3, None])
     assert [(x["_id"], x["keep_id"]) for x in line_dedup.duplicate_lines(same, distance=None, grams=16).collect()] == [(3, None), (3, None)]
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    plain = [" ".join("own%d_%d" % (k, i) for i in range(30)) for k in range(3)]
+    docs = docs_of(spark, [*plain, None, "", plain[0]]).withColumn("_row", F.lit(7)).withColumn("_was", F.lit(8)).withColumn("_lf_gone", F.lit(9)).withColumn("_lf_times", F.lit(1)).withColumn("row", F.lit(2)).withColumn("score", F.lit(3))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        out = stage(spark, docs, sf)
+        assert [c for c in out.columns if c not in ("copy", "shuffle_key")] == docs.columns, name
+        rows = out.filter("_row = 7 and _was = 8 and _lf_gone = 9 and _lf_times = 1 and row = 2 and score = 3").select("doc_id").collect()
+        assert len(rows) == out.count() and (name == "source_mixing" or {r["doc_id"] for r in rows} >= {0, 1, 2, 3}), name

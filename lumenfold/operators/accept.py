@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def runlist_filter(scans: DataFrame, excluded: DataFrame, allowed: int, min_length: float) -> DataFrame:
-    """Scans of an allowed type that are longer than min_length and outside all excluded id ranges."""
+def runlist_filter(scans: DataFrame, excluded: DataFrame, allowed: int, min_length: float, reach: int = 1000) -> DataFrame:
+    """Scans of an allowed type that are longer than min_length and outside all excluded id ranges, which are dealt into blocks of `reach` ids for an equi-join."""
     ok = scans.filter((F.col("scantype").bitwiseAND(F.lit(allowed)) != 0) & (F.col("length") > min_length))
-    return ok.join(F.broadcast(excluded), F.col("scanid").between(F.col("first"), F.col("last")), "left_anti")
+    blocks = excluded.select("first", "last", F.explode(F.expr(f"sequence(first div {reach}, last div {reach})")).alias("_block"))
+    return ok.join(blocks, (F.expr(f"scanid div {reach}") == F.col("_block")) & F.col("scanid").between(F.col("first"), F.col("last")), "left_anti")
 
 
 def accept_cuts(stats: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     """Per statistic in long form whether it is rejected: closed intervals, a null bound never cuts,
     a null statistic is rejected where the cut has a bound. Statistics without a cut pass."""
-    joined = stats.join(F.broadcast(cuts), "stat", "left")
+    joined = stats.join(cuts, "stat", "left")
     bounded = F.col("lo").isNotNull() | F.col("hi").isNotNull()
     out = F.coalesce(F.col("value") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("value") > F.col("hi"), F.lit(False))
     return joined.withColumn("rejected", out | (F.col("value").isNull() & bounded))

@@ -136,10 +136,14 @@ def uniformity(ptes: DataFrame, by: list[str], pte: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.max("n").alias("n"), F.max(far).alias("distance"))
 
 
-def model_chi2(bins: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
-    """Chi-square of one-dimensional spectra (by, k, power, error) against models (model, k, power), which are joined by lines between their k."""
+def model_chi2(bins: DataFrame, model: DataFrame, by: list[str], cell: float = 0.05) -> DataFrame:
+    """Chi-square of one-dimensional spectra (by, k, power, error) against models (model, k, power), which are joined by lines between their k.
+
+    Lines are dealt into cells of k, so that an equi-join finds the one for a bin.
+    """
     ends = model.selectExpr("model", "k as k0", "power as p0", "lead(k) over (partition by model order by k) as k1", "lead(power) over (partition by model order by k) as p1").filter("k1 is not null")
-    both = bins.join(F.broadcast(ends), (F.col("k") >= F.col("k0")) & (F.col("k") < F.col("k1")))
+    ends = ends.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("k0") / cell), F.floor(F.col("k1") / cell))))
+    both = bins.withColumn("_cell", F.floor(F.col("k") / cell)).join(ends, "_cell").filter((F.col("k") >= F.col("k0")) & (F.col("k") < F.col("k1")))
     want = F.col("p0") + (F.col("p1") - F.col("p0")) * (F.col("k") - F.col("k0")) / (F.col("k1") - F.col("k0"))
     return both.groupBy(*by, "model").agg(F.sum(((F.col("power") - want) / F.nullif("error", F.lit(0.0))) ** 2).alias("chi2"), F.count("power").alias("bins"))
 

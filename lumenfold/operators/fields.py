@@ -80,9 +80,9 @@ def subtract_weighted_modes(maps: DataFrame, by: list[str], modes: int, rounds:
 
 
 def highpass_maps(maps: DataFrame, by: list[str], reach: float, n_dec: int, n_ra: int) -> DataFrame:
-    """Each channel's map without its weighted fit of Fourier waves (i, j) with i^2 + j^2 <= reach^2."""
+    """Each channel's map without its weighted fit of Fourier waves (i, j), both from 0, with i^2 + j^2 <= reach^2."""
     top = int(reach)
-    waves = [(i, j) for i in range(top + 1) for j in range(-top, top + 1) if i * i + j * j <= reach * reach and (i > 0 or j >= 0)]
+    waves = [(i, j) for i in range(top + 1) for j in range(top + 1) if i * i + j * j <= reach * reach]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ok = (group["map"].notna() & (group["sigma"] > 0)).to_numpy()
@@ -186,3 +186,79 @@ def block_means(pairs: DataFrame, by: list[str], a: str, b: str, value: str, siz
     return pairs.groupBy(*by, F.floor(F.col(a) / size).cast("int").alias("i"), F.floor(F.col(b) / size).cast("int").alias("j")).agg(
         F.avg(value).alias("mean"), F.max(F.abs(value)).alias("largest"), F.count("*").alias("n")
     )
+
+
+def comoving(z: np.ndarray | float, matter: float = 0.286, hubble: float = 70.0, steps: int = 4096) -> np.ndarray:
+    """Comoving distance in Mpc to redshift z in a flat universe, by Simpson's rule."""
+    z = np.atleast_1d(np.asarray(z, dtype=float))
+    x = np.linspace(0, 1, 2 * steps + 1)
+    w = np.ones_like(x)
+    w[1:-1:2], w[2:-1:2] = 4, 2
+    f = 1 / np.sqrt(matter * (1 + z[:, None] * x) ** 3 + 1 - matter)
+    return 299_792.458 / hubble * z * (f @ w) / (6 * steps)
+
+
+def box_steps(z_mid: float, rest_ghz: float, lo_ghz: float, hi_ghz: float, channels: int, ra_step: float, dec_step: float, dec0: float, matter: float = 0.286, hubble: float = 70.0) -> dict[str, float]:
+    """Cell sizes in Mpc of a map as a box: dx, dy (degrees at z_mid, right ascension by cos(dec0)), dz (one channel at
+    z_mid), their volume, and the smallest and largest k of each side for a cell count."""
+    per_degree = float(comoving(z_mid, matter, hubble)[0]) * np.pi / 180
+    width = (1 + z_mid) ** 2 * (hi_ghz - lo_ghz) / (channels - 1) / rest_ghz
+    ends = comoving([z_mid - width / 2, z_mid + width / 2], matter, hubble)
+    steps = {"dx": ra_step * abs(float(np.cos(np.radians(dec0)))) * per_degree, "dy": dec_step * per_degree, "dz": float(ends[1] - ends[0])}
+    return {**steps, "volume": steps["dx"] * steps["dy"] * steps["dz"], "mpc_per_arcmin": per_degree / 60}
+
+
+def as_box(maps: DataFrame, channels: int) -> DataFrame:
+    """Cells of a box: x, y and z (channels of all bands in order), map and sigma in microkelvin, w = 1 / sigma^2; unseen cells are 0."""
+    seen = F.col("sigma").isNotNull() & (F.col("sigma") > 0) & F.col("map").isNotNull()
+    return maps.withColumn("x", F.col("ra_i")).withColumn("y", F.col("dec_i")).withColumn("z", F.col("sb") * channels + F.col("chan")).withColumns({
+        "map": F.when(seen, F.col("map") * 1e6).otherwise(0.0), "w": F.when(seen, 1 / (F.col("sigma") * 1e6) ** 2).otherwise(0.0), "sigma": F.when(seen, F.col("sigma") * 1e6).otherwise(0.0),
+    })
+
+
+def _k_grid(shape, steps):
+    kx, ky, kz = (2 * np.pi * np.fft.fftfreq(n, d) for n, d in zip(shape, steps))
+    across = np.sqrt(kx[:, None, None] ** 2 + ky[None, :, None] ** 2 + 0 * kz).ravel()
+    return across, np.abs(0 * kx[:, None, None] + 0 * ky[None, :, None] + kz).ravel()
+
+
+def auto_spectra(cells: DataFrame, unit: str, shape: tuple[int, int, int], steps: tuple[float, float, float], across: list[float], along: list[float] | None = None) -> DataFrame:
+    """Spectra of single maps (unit, x, y, z, map, sigma), weighted by w over its root mean square, w = 1 / sigma^2.
+
+    With `along`, in bins of k across and along; without, in bins of |k| without k = 0.
+    """
+    volume, n = float(np.prod(steps)), int(np.prod(shape))
+    k_across, k_along = _k_grid(shape, steps)
+    k = np.sqrt(k_across**2 + k_along**2)
+    bins = [np.asarray(across), np.asarray(along if along is not None else [-np.inf, np.inf])]
+    first = k_across if along is not None else np.where(k > 0, k, -1.0)
+    modes = np.histogram2d(first, k_along, bins)[0] if along is not None else np.histogram(first, bins[0])[0][:, None]
+    kind = cells.schema[unit].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        at = tuple(group[c].to_numpy() for c in "xyz")
+        m, w = np.zeros(shape), np.zeros(shape)
+        m[at], w[at] = group["map"], 1 / group["sigma"] ** 2
+        p = np.abs(np.fft.fftn(m * w / np.sqrt(np.mean(w**2)))).ravel() ** 2 * volume / n
+        total = np.histogram2d(first, k_along, bins, weights=p)[0] if along is not None else np.histogram(first, bins[0], weights=p)[0][:, None]
+        i, j = np.nonzero(modes)
+        return pd.DataFrame({unit: group[unit].iloc[0], "across": i, "along": j, "power": total[i, j] / modes[i, j], "modes": modes[i, j].astype(int)})
+
+    ok = cells.filter("map is not null and sigma > 0").select(unit, "x", "y", "z", "map", "sigma")
+    return ok.groupBy(unit).applyInPandas(run, f"{unit} {kind}, across int, along int, power double, modes long")
+
+
+def random_fields(keys: DataFrame, key: str, shape: tuple[int, ...], steps: tuple[float, ...], power, seed: int = 1) -> DataFrame:
+    """key and `cells`, a random field (row after row) of each key whose spectrum is power(k), k in cycles a length. Seeded by (seed, key)."""
+    k = np.sqrt(sum(np.meshgrid(*[np.fft.fftfreq(n, d) ** 2 for n, d in zip(shape, steps)], indexing="ij")))
+    scale = np.sqrt(np.asarray(power(k), dtype=float) / np.prod([n * d for n, d in zip(shape, steps)])) * np.prod(shape)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for name in batch[key]:
+                g = np.random.default_rng([seed, int(name)])
+                out.append(np.real(np.fft.ifftn((g.normal(size=shape) + 1j * g.normal(size=shape)) * scale)).ravel())
+            yield pd.DataFrame({key: batch[key], "cells": out})
+
+    return keys.select(key).mapInPandas(run, f"{key} {keys.schema[key].dataType.simpleString()}, cells array<double>")

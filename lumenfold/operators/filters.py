@@ -91,8 +91,11 @@ def normalise_gain_gaussian(rows: DataFrame, key: str, samples: str, block: int
 
 
 def mirrored(d: np.ndarray, ends: int = 100) -> np.ndarray:
-    """Three times as long: reflected oddly about the means of the `ends` samples at either end."""
-    return np.r_[2 * d[:ends].mean() - d[::-1], d, 2 * d[-ends:].mean() - d[::-1]]
+    """Three times as long: reflected oddly about weighted means of the `ends` samples at either end,
+    the outermost with weight 1, the innermost with 0."""
+    n = min(ends, len(d))
+    w = np.linspace(1, 0, n) if n > 1 else np.ones(1)
+    return np.r_[2 * np.average(d[:n], weights=w) - d[::-1], d, 2 * np.average(d[-n:], weights=w[::-1]) - d[::-1]]
 
 
 def padded_highpass(rows: DataFrame, key: str, samples: str, cutoff: float, power: float = 8.0) -> DataFrame:
@@ -100,35 +103,112 @@ def padded_highpass(rows: DataFrame, key: str, samples: str, cutoff: float, powe
     return per_row(rows, key, samples, lambda d, _: d - slow_part(mirrored(d), cutoff, power)[len(d) : 2 * len(d)])
 
 
-def notch(rows: DataFrame, key: str, samples: str, centre: float, width: float) -> DataFrame:
-    """Take out frequencies (cycles a sample) within width / 2 of centre, with a cosine taper out to width."""
+def notch(rows: DataFrame, key: str, samples: str, centre: float | list[float], width: float) -> DataFrame:
+    """Take out frequencies (cycles a sample) within width / 2 of each centre, with a cosine taper from there out to width.
+
+    The taper rises outwards, as a notch's must.
+    """
     def change(d, _):
         wide = mirrored(d)
-        off = np.abs(np.fft.rfftfreq(len(wide)) - centre) / width
-        keep = 0.5 - 0.5 * np.cos(np.pi * np.clip(2 * off - 1, 0, 1))
+        keep = np.ones(len(wide) // 2 + 1)
+        for c in np.atleast_1d(centre):
+            off = np.abs(np.fft.rfftfreq(len(wide)) - c) / width
+            keep *= 0.5 - 0.5 * np.cos(np.pi * np.clip(2 * off - 1, 0, 1))
         return np.fft.irfft(np.fft.rfft(wide) * keep, n=len(wide))[len(d) : 2 * len(d)]
 
     return per_row(rows, key, samples, change)
 
 
-def notch_both_ways(rows: DataFrame, key: str, samples: str, centre: float, quality: float) -> DataFrame:
-    """A second-order recursive notch, run forwards and then backwards so that phases stay."""
-    w = 2 * np.pi * centre
-    g = 1 / (1 + np.tan(w / quality / 2))
-    turn = 2 * np.cos(w)
+def notch_coefficients(centres: float | list[float], quality: float | list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of second-order notches in a row; frequencies in cycles a sample, quality = frequency / width."""
+    b, a = np.ones(1), np.ones(1)
+    for f, q in zip(np.atleast_1d(centres), np.broadcast_to(quality, np.shape(np.atleast_1d(centres)))):
+        w = 2 * np.pi * f
+        gain = 1 / (1 + np.tan(w / q / 2))
+        b, a = np.convolve(b, gain * np.array([1, -2 * np.cos(w), 1])), np.convolve(a, [1, -2 * gain * np.cos(w), 2 * gain - 1])
+    return b, a
+
+
+def recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The recursive filter b / a over the last axis of many rows at once, from a state for each."""
+    out, z = np.empty_like(x), np.concatenate([state, np.zeros((len(x), 1))], axis=1)
+    for i in range(x.shape[1]):
+        now = x[:, i]
+        out[:, i] = y = b[0] * now + z[:, 0]
+        z[:, :-1] = z[:, 1:] + now[:, None] * b[1:] - y[:, None] * a[1:]
+    return out
+
+
+def both_ways(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows filtered forwards and then backwards, extended oddly about their end samples by three times the
+    filter's length (less where rows are shorter), from the state of a steady input."""
+    pad, order = min(3 * len(a), x.shape[1] - 1), len(a) - 1
+    if pad < 1:
+        return x.copy()
+    wide = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1)
+    steady = np.eye(order) + np.outer(a[1:], np.eye(order)[0]) - np.eye(order, k=1)
+    start = np.linalg.solve(steady, b[1:] - a[1:] * b[0])
+    for _ in range(2):
+        wide = recursive(b, a, wide, wide[:, :1] * start)[:, ::-1]
+    return wide[:, pad:-pad]
+
+
+def per_length(rows: DataFrame, key: str, samples: str, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """key and `filtered`: change(matrix) of the rows of a batch that have one length. Empty and null arrays come back empty."""
+    def run(batches):
+        for batch in batches:
+            arrays = [np.empty(0) if s is None else np.asarray(s, dtype=float) for s in batch[samples]]
+            out, sizes = list(arrays), np.array([len(d) for d in arrays])
+            for n in set(sizes[sizes > 0].tolist()):
+                at = np.flatnonzero(sizes == n)
+                for i, d in zip(at, change(np.stack([arrays[i] for i in at]))):
+                    out[i] = d
+            yield pd.DataFrame({key: batch[key], "filtered": out})
 
-    def once(d):
-        out = np.empty_like(d)
-        x1 = x2 = y1 = y2 = d[0]  # as if the first sample had gone on for ever before
-        for i, x in enumerate(d):
-            out[i] = y = g * (x - turn * x1 + x2) + g * turn * y1 - (2 * g - 1) * y2
-            x1, x2, y1, y2 = x, x1, y, y1
-        return out
+    return rows.select(key, samples).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, filtered array<double>")
 
-    def change(d, _):
-        return once(once(mirrored(d))[::-1])[::-1][len(d) : 2 * len(d)]
 
-    return per_row(rows, key, samples, change)
+def notch_both_ways(rows: DataFrame, key: str, samples: str, centre: float | list[float], quality: float | list[float]) -> DataFrame:
+    """Recursive notches in a row, run forwards and then backwards so that phases stay."""
+    b, a = notch_coefficients(centre, quality)
+    return per_length(rows, key, samples, lambda x: both_ways(b, a, x))
+
+
+def peaks(x: np.ndarray, distance: int) -> np.ndarray:
+    """Local maxima (of flat ones the middle, rounded down), of those nearer than `distance` the highest, ties to the later one."""
+    change = np.flatnonzero(np.diff(x) != 0)
+    lo, hi = np.r_[0, change + 1], np.r_[change, len(x) - 1]
+    inner = (lo > 0) & (hi < len(x) - 1)
+    lo, hi = lo[inner], hi[inner]
+    top = (x[lo - 1] < x[lo]) & (x[hi + 1] < x[hi])
+    at = (lo[top] + hi[top]) // 2
+    keep = np.ones(len(at), dtype=bool)
+    for i in np.lexsort((np.arange(len(at)), x[at]))[::-1]:
+        if keep[i]:
+            near = np.abs(at - at[i]) < distance
+            near[i] = False
+            keep &= ~near
+    return at[keep]
+
+
+def notch_at_turns(rows: DataFrame, key: str, samples: str, azimuth: str, centre: float | list[float], quality: float | list[float], reach: int = 500, distance: int = 100) -> DataFrame:
+    """Notches around turning points only: `reach` samples to either side of each peak of |azimuth - median|, one after
+    the other; peaks too near an end are left out. rows: key, samples, azimuth, of one length each."""
+    b, a = notch_coefficients(centre, quality)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for d, az in zip(batch[samples], batch[azimuth]):
+                d = np.empty(0) if d is None else np.array(d, dtype=float)
+                az = np.empty(0) if az is None else np.asarray(az, dtype=float)
+                for at in peaks(np.abs(az - np.median(az)), distance) if len(az) > 2 else ():
+                    if at - reach >= 0 and at + reach < len(d):
+                        d[at - reach : at + reach] = both_ways(b, a, d[None, at - reach : at + reach])[0]
+                out.append(d)
+            yield pd.DataFrame({key: batch[key], "filtered": out})
+
+    return rows.select(key, samples, azimuth).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, filtered array<double>")
 
 
 def subtract_start_decay(rows: DataFrame, key: str, samples: str, seconds: float) -> DataFrame:

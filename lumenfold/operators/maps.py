@@ -72,3 +72,40 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str], by: list[str]) -> DataF
         (F.count_if(F.col("wa").isNotNull() & F.col("wb").isNotNull()) / F.count("*")).alias("iou"),
         (F.sum(F.col("wa") * F.col("wb")) / F.nullif(F.sqrt(F.sum(F.col("wa") ** 2) * F.sum(F.col("wb") ** 2)), F.lit(0.0))).alias("weighted"),
     )
+
+
+def noisy_channels(maps: DataFrame, factor: float = 8.0) -> DataFrame:
+    """Mean sigma of each channel of a feed, and whether it is over `factor` times the mean of all pixels of all feeds."""
+    channels = maps.filter("sigma is not null").groupBy("feed", "sb", "chan").agg(F.sum("sigma").alias("_s"), F.count("*").alias("_n"))
+    whole = channels.agg((F.sum("_s") / F.sum("_n")).alias("_mean"))
+    return channels.crossJoin(F.broadcast(whole)).select("feed", "sb", "chan", (F.col("_s") / F.col("_n")).alias("noise"), (F.col("_s") / F.col("_n") > factor * F.col("_mean")).alias("noisy"))
+
+
+def significance(maps: DataFrame) -> DataFrame:
+    return maps.withColumn("significance", F.col("map") / F.nullif("sigma", F.lit(0.0)))
+
+
+def unweighted_map(tod: DataFrame, keys: list[str] = PIXEL) -> DataFrame:
+    """Means and hits per pixel, every unmasked sample with the same weight."""
+    return tod.filter("ok").groupBy(*keys).agg(F.avg("value").alias("map"), F.count("*").alias("nhit"))
+
+
+def stack_levels(maps: DataFrame, pixel: list[str]) -> DataFrame:
+    """Inverse-variance stacks of scans' maps (obsid, scan, feed, sb, pixel, map, sigma): by scan and by observation, and
+    within each by band, by detector and as a whole, in one grouping-sets pass.
+
+    level names the stack: 0 scan, feed and band; 1 scan and feed; 3 scan; 4 to 7 the same of observations.
+    """
+    w = 1 / F.nullif(F.col("sigma") ** 2, F.lit(0.0))
+    rows = maps.withColumn("_w", w).withColumn("_n", F.col("map") * w)
+    sets = [["obsid", *some, *pixel] for some in (["scan", "feed", "sb"], ["scan", "feed"], ["scan"], ["feed", "sb"], ["feed"], [])]
+    out = rows.groupingSets([[F.col(c) for c in s] for s in sets], "obsid", "scan", "feed", "sb", *pixel).agg(
+        F.sum("_n").alias("num"), F.sum("_w").alias("den"), (4 * F.grouping("scan") + 2 * F.grouping("feed") + F.grouping("sb")).cast("int").alias("level"),
+    )
+    return finalise(out).drop("num", "den")
+
+
+def mean_correlation(pairs: DataFrame, by: list[str], samples: str) -> DataFrame:
+    """Mean correlation of channel pairs over scans, weighted by their numbers of samples (by, a, b, corr)."""
+    ok = pairs.filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
+    return ok.groupBy(*by, "a", "b").agg((F.sum(F.col("corr") * F.col(samples)) / F.nullif(F.sum(samples), F.lit(0))).alias("corr"), F.count("*").alias("scans"))

@@ -135,3 +135,80 @@ def decimate_masked(rows: DataFrame, by: list[str], chan: str, value: str, tsys:
     w = F.when(F.col(kept), 1 / F.nullif(F.col(tsys) ** 2, F.lit(0.0)))
     sums = rows.groupBy(*by, F.floor(F.col(chan) / size).cast("int").alias("low")).agg(F.count("*").alias("n"), F.bool_or(kept).alias("_any"), F.sum(w).alias("_w"), F.sum(F.col(value) * w).alias("_s"))
     return sums.select(*by, "low", "n", (F.col("_any") & F.col("_w").isNotNull()).alias("kept"), (F.col("_s") / F.col("_w")).alias("mean"), F.sqrt(F.lit(float(size)) / F.col("_w")).alias("tsys_low"))
+
+
+def subtract_weighted_line(rows: DataFrame, by: list[str], x: str, y: str, kept: str) -> DataFrame:
+    """Offset and slope of a line through each group's kept rows, taken out of all its rows: `offset`, `slope`, `residual`.
+
+    Groups with fewer than two kept places stay as they are. Five sums per group settle it.
+    """
+    fit = rows.filter(kept).groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("offset"))
+    line = F.coalesce(F.col("offset") + F.col("slope") * F.col(x), F.lit(0.0))
+    return rows.join(fit, by, "left").withColumn("residual", F.col(y) - line)
+
+
+def subtract_templates(rows: DataFrame, by: list[str], y: str, airmass: str, azimuth: str, kept: str) -> DataFrame:
+    """Least squares of y on two templates, both less their means over kept samples, taken out of all samples: amplitudes g and a, `residual`.
+
+    Where one template is constant only the other is fitted.
+    """
+    mean = rows.filter(kept).groupBy(*by).agg(F.avg(airmass).alias("_mg"), F.avg(azimuth).alias("_ma"))
+    both = rows.join(mean, by).withColumn("_g", F.col(airmass) - F.col("_mg")).withColumn("_a", F.col(azimuth) - F.col("_ma"))
+    products = {"gg": ("_g", "_g"), "aa": ("_a", "_a"), "ga": ("_g", "_a"), "gy": ("_g", y), "ay": ("_a", y)}
+    s = both.filter(kept).groupBy(*by).agg(*[F.sum(F.col(p) * F.col(q)).alias(f"_{n}") for n, (p, q) in products.items()])
+    c = {n: F.col(f"_{n}") for n in products}
+    det = c["gg"] * c["aa"] - c["ga"] ** 2
+    sound = det > 1e-12 * c["gg"] * c["aa"]
+    g = F.when(sound, (c["gy"] * c["aa"] - c["ay"] * c["ga"]) / det).when(c["aa"] > 0, 0.0).otherwise(F.coalesce(F.try_divide(c["gy"], c["gg"]), F.lit(0.0)))
+    a = F.when(sound, (c["ay"] * c["gg"] - c["gy"] * c["ga"]) / det).otherwise(F.coalesce(F.try_divide(c["ay"], c["aa"]), F.lit(0.0)))
+    fit = s.select(*by, g.alias("g"), a.alias("a"))
+    return both.join(fit, by).withColumn("residual", F.col(y) - F.col("g") * F.col("_g") - F.col("a") * F.col("_a")).drop("_g", "_a", "_mg", "_ma")
+
+
+def block_lines(rows: DataFrame, by: list[str], at: str, value: str, kept: str, size: int) -> DataFrame:
+    """`slow`: means of blocks of `size` rows over kept ones, joined by lines between the blocks' middles; level beyond the outer ones.
+
+    Blocks without kept rows take no part. Each block is joined to the next; there is no join on time.
+    """
+    placed = rows.withColumn("_place", F.row_number().over(ordered(by, at)) - 1).withColumn("_block", F.expr(f"_place div {size}"))
+    blocks = placed.groupBy(*by, "_block").agg(F.avg(F.when(F.col(kept), F.col(value))).alias("_m"), F.avg("_place").alias("_mid")).filter("_m is not null")
+    w = Window.partitionBy(*by).orderBy("_block")
+    known = blocks.withColumn("_e", F.lit(1)).unionByName(placed.select(*by, "_block").distinct().withColumns({"_m": F.lit(None).cast("double"), "_mid": F.lit(None).cast("double"), "_e": F.lit(0)}))
+    known = known.groupBy(*by, "_block").agg(F.max("_m").alias("_m"), F.max("_mid").alias("_mid"))
+    point = F.when(F.col("_m").isNotNull(), F.struct("_mid", "_m"))
+    sides = known.select(
+        *by, "_block", point.alias("_here"), F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
+        F.first(point, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_right"),
+    )
+    p = F.col("_place")
+    lo = F.when(F.col("_here").isNotNull() & (p >= F.col("_here._mid")), F.col("_here")).otherwise(F.col("_left"))
+    hi = F.when(F.col("_here").isNotNull() & (p < F.col("_here._mid")), F.col("_here")).otherwise(F.col("_right"))
+    both = placed.join(sides, [*by, "_block"]).withColumn("_lo", lo).withColumn("_hi", hi)
+    line = F.col("_lo._m") + (F.col("_hi._m") - F.col("_lo._m")) * (p - F.col("_lo._mid")) / F.nullif(F.col("_hi._mid") - F.col("_lo._mid"), F.lit(0.0))
+    return both.withColumn("slow", F.coalesce(line, F.col("_lo._m"), F.col("_hi._m"))).drop("_place", "_block", "_here", "_left", "_right", "_lo", "_hi")
+
+
+def status_intervals(rows: DataFrame, by: list[str], at: str, status: str, on: int = 1) -> DataFrame:
+    """Scan intervals of a status stream: from each first row with status `on` to the first row after; a stream at rest (all 0) is one interval."""
+    moving = on_intervals(rows.withColumn("_on", F.col(status) == on), by, at, "_on").select(*by, "start", "stop")
+    still = rows.groupBy(*by).agg(F.min(at).alias("start"), F.max(at).alias("stop"), F.max(F.abs(status)).alias("_most")).filter("_most = 0").drop("_most")
+    return moving.unionByName(still)
+
+
+def resegment(intervals: DataFrame, by: list[str], start: str, stop: str, length: float) -> DataFrame:
+    """Each interval cut into floor((stop - start) / length) equal parts; those too short for one are left out."""
+    parts = F.floor((F.col(stop) - F.col(start)) / length).cast("int")
+    rows = intervals.withColumn("_n", parts).filter("_n > 0").withColumn("part", F.explode(F.expr("sequence(0, _n - 1)")))
+    step = (F.col(stop) - F.col(start)) / F.col("_n")
+    return rows.select(*by, "part", (F.col(start) + step * F.col("part")).alias("start"), (F.col(start) + step * (F.col("part") + 1)).alias("stop"))
+
+
+def fill_missing(rows: DataFrame, by: list[str], at: str, value: str, reach: int = 10, seed: int = 1) -> DataFrame:
+    """Null values become normal deviates with the mean and spread of the `reach` rows to either side, drawn by (by, at, seed)."""
+    w = ordered(by, at).rowsBetween(-reach, reach)
+
+    def uniform(k: int) -> Column:
+        return (F.pmod(F.xxhash64(*by, at, F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    deviate = F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * pi * uniform(1))
+    return rows.withColumn("filled", F.coalesce(F.col(value), F.avg(value).over(w) + F.stddev_pop(value).over(w) * deviate))

@@ -99,6 +99,12 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(k) for k in KINDS]))
 
 
+def count_kind(spans: Column, kind: str) -> Column:
+    """How many of the spans are of a kind."""
+    rank = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+
 def span_text(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import exp, lgamma, log, log10
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,6 +121,41 @@ def chi2_survival(chi2: float, dof: float) -> float:
     return scale * h
 
 
+def digamma(x: Column) -> Column:
+    """Derivative of the logarithm of the gamma function, for x > 0: by its recurrence up to 8 and more, then by its series."""
+    shift = sum((1 / (x + k) for k in range(8)), F.lit(0.0))
+    y = x + 8
+    z = 1 / (y * y)
+    return F.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132)))) - shift
+
+
+def trigamma(x: Column) -> Column:
+    """Derivative of `digamma`."""
+    shift = sum((1 / ((x + k) * (x + k)) for k in range(8)), F.lit(0.0))
+    y = x + 8
+    z = 1 / (y * y)
+    return 1 / y + z / 2 + z / y * (1 / 6 - z * (1 / 30 - z * (1 / 42 - z * (1 / 30 - z * 5 / 66)))) + shift
+
+
+def fitted_dof(sims: DataFrame, by: list[str], chi2: str, steps: int = 12) -> DataFrame:
+    """Degrees of freedom of each group's chi-squares, by maximum likelihood: by, dof and n.
+
+    The likelihood depends on them through the mean logarithm alone, so one grouped sum settles it; Newton's steps solve
+    digamma(dof / 2) = mean log(chi2 / 2) in columns, from an inverse of digamma that is right at both ends. Values of 0 or less don't count.
+    """
+    some = sims.filter(F.col(chi2) > 0).groupBy(*by).agg(F.avg(F.log(F.col(chi2) / 2)).alias("_log"), F.count("*").alias("n"))
+    half = some.withColumn("_a", F.when(F.col("_log") >= -2.22, F.exp("_log") + 0.5).otherwise(-1 / (F.col("_log") + 0.5772156649015329)))
+    for _ in range(steps):
+        half = half.withColumn("_a", F.greatest(F.col("_a") - (digamma(F.col("_a")) - F.col("_log")) / trigamma(F.col("_a")), F.col("_a") / 10))
+    return half.select(*by, (2 * F.col("_a")).alias("dof"), "n")
+
+
+def numeric_pte(found: DataFrame, sims: DataFrame, by: list[str], chi2: str) -> DataFrame:
+    """found (by, chi2, one row a group) with `numeric`: the share of the group's simulated chi-squares that are larger."""
+    both = sims.select(*by, F.col(chi2).alias("_sim")).join(found, by)
+    return both.groupBy(*found.columns).agg((1 - F.avg((F.col("_sim") <= F.col(chi2)).cast("double"))).alias("numeric"))
+
+
 def with_survival(rows: DataFrame, chi2: str, dof: str) -> DataFrame:
     """rows with `pte`, the chance of a larger chi-square."""
     @F.pandas_udf("double")
@@ -129,6 +165,71 @@ def with_survival(rows: DataFrame, chi2: str, dof: str) -> DataFrame:
     return rows.withColumn("pte", pte(F.col(chi2).cast("double"), F.col(dof).cast("double")))
 
 
+def block_inverses(runs: DataFrame, pair: list[str], run: str, block: str, cell: str, value: str, tie: float = 1e-10) -> DataFrame:
+    """Inverse sample covariances of an ensemble: pair, block, a, b and inverse, of the cells a and b of each block.
+
+    Covariances are grouped sums over the ensemble; each block's matrix, as large as the cells of a block, gets its Cholesky
+    factor in one row. A block whose smallest pivot is under `tie` of its largest has no rows: too few runs, or cells that depend on others.
+    """
+    x = runs.select(*pair, block, run, F.col(cell).alias("a"), F.col(value).alias("_x"))
+    y = runs.select(*pair, block, run, F.col(cell).alias("b"), F.col(value).alias("_y"))
+    cov = x.join(y, [*pair, block, run]).groupBy(*pair, block, "a", "b").agg(F.covar_samp("_x", "_y").alias("c"))
+    one = cov.groupBy(*pair, block).agg(F.collect_list(F.struct("a", "b", "c")).alias("cells"))
+    kind = runs.schema[cell].dataType.simpleString()
+
+    @F.pandas_udf(f"array<struct<a:{kind},b:{kind},inverse:double>>")
+    def invert(matrices: pd.Series) -> pd.Series:
+        out = []
+        for rows in matrices:
+            names = sorted({r["a"] for r in rows})
+            at = {n: i for i, n in enumerate(names)}
+            m = np.full((len(names), len(names)), np.nan)
+            for r in rows:
+                m[at[r["a"]], at[r["b"]]] = np.nan if r["c"] is None else r["c"]
+            out.append([])
+            if not np.isfinite(m).all():
+                continue
+            try:
+                pivots = np.diag(low := np.linalg.cholesky(m))
+            except np.linalg.LinAlgError:
+                continue
+            if pivots.min() ** 2 > tie * pivots.max() ** 2:
+                half = np.linalg.solve(low, np.eye(len(low)))
+                inverse = half.T @ half
+                out[-1] = [{"a": a, "b": b, "inverse": float(inverse[at[a], at[b]])} for a in names for b in names]
+        return pd.Series(out)
+
+    return one.select(*pair, block, F.explode(invert("cells")).alias("_i")).select(*pair, block, "_i.*")
+
+
+def covariance_average(spectra: DataFrame, inverses: DataFrame, pair: list[str], block: str, cell: str, value: str) -> DataFrame:
+    """Generalised least squares over pairs: block, cell, mean and error.
+
+    Sums inverse covariances and what they make of each spectrum over all pairs, and solves each block's system. Pairs without an
+    inverse of a block take no part in it. error is the root of the summed inverse's inverse on the diagonal.
+    """
+    kind = spectra.schema[cell].dataType.simpleString()
+    x = spectra.select(*pair, block, F.col(cell).alias("b"), F.col(value).alias("_v"))
+    both = inverses.join(x, [*pair, block, "b"]).groupBy(block, "a", "b").agg(F.sum("inverse").alias("m"), F.sum(F.col("inverse") * F.col("_v")).alias("s"))
+    one = both.groupBy(block).agg(F.collect_list(F.struct("a", "b", "m", "s")).alias("cells"))
+
+    @F.pandas_udf(f"array<struct<cell:{kind},mean:double,error:double>>")
+    def solve(systems: pd.Series) -> pd.Series:
+        out = []
+        for rows in systems:
+            names = sorted({r["a"] for r in rows})
+            at = {n: i for i, n in enumerate(names)}
+            m, s = np.zeros((len(names), len(names))), np.zeros(len(names))
+            for r in rows:
+                m[at[r["a"]], at[r["b"]]] = r["m"]
+                s[at[r["a"]]] += r["s"]
+            inverse = np.linalg.inv(m)
+            out.append([{"cell": n, "mean": float(v), "error": float(e)} for n, v, e in zip(names, inverse @ s, np.sqrt(np.diag(inverse)))])
+        return pd.Series(out)
+
+    return one.select(block, F.explode(solve("cells")).alias("_o")).select(block, F.col("_o.cell").alias(cell), "_o.mean", "_o.error")
+
+
 def uniformity(ptes: DataFrame, by: list[str], pte: str) -> DataFrame:
     """Kolmogorov-Smirnov distance of a group's PTEs from even ones: null tests of one kind, a few hundred numbers each."""
     rows = ptes.filter(F.col(pte).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.collect_list(pte).alias("_all")).select(*by, "n", F.posexplode(F.array_sort("_all")).alias("_i", "_p"))

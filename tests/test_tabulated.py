@@ -130,3 +130,25 @@ def test_covariance_weights_against_least_squares(spark):
             assert np.allclose(got[b, c], (mean[c], np.sqrt(cov[c, c])), rtol=1e-8)
     few = spark.createDataFrame([(0, 0, r, c, float(r * c)) for r in range(3) for c in range(4)], "pair int, par int, run int, perp int, v double")
     assert averages.block_inverses(few, ["pair"], "run", "par", "perp", "v").count() == 0
+
+
+def test_covariance_query(spark):
+    """The query that SQL can't express, by NumPy."""
+    from lumenfold.plans import spectrum_queries
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", "vec_id", "embedding").collect()
+    got = {(r["block"], r["cell"]): (r["mean"], r["error"]) for r in spectrum_queries.covariance_average(spark, sf).collect()}
+    assert len(got) == 64
+    by_label = {}
+    for r in sorted(rows, key=lambda r: r["vec_id"]):
+        by_label.setdefault(r["label"], []).append(r["embedding"])
+    for b in range(16):
+        inv, sums = np.zeros((4, 4)), np.zeros(4)
+        for vectors in by_label.values():
+            m = np.array(vectors, dtype=float)[:, 4 * b : 4 * b + 4]
+            one = np.linalg.inv(np.cov(m.T))
+            inv, sums = inv + one, sums + one @ m[0]
+        cov = np.linalg.inv(inv)
+        for c in range(4):
+            assert np.allclose(got[b, c], ((cov @ sums)[c], np.sqrt(cov[c, c])), rtol=1e-6)

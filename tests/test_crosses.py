@@ -100,6 +100,29 @@ def test_spectra_and_noise_bank(spark, symmetric):
     assert abs(see["overlap"] - np.mean((v1 * v2).sum(axis=(0, 1)) / np.sqrt((v1**2).sum(axis=(0, 1)) * (v2**2).sum(axis=(0, 1))))) < 1e-12
 
 
+def test_pair_spectra_query(spark):
+    """The query's powers and sigmas by plain sums, pair by pair."""
+    from lumenfold.plans import cross_queries
+
+    assert (cross_queries.SHAPE, cross_queries.STEPS, cross_queries.ACROSS, cross_queries.ALONG) == (SHAPE, STEPS, ACROSS, ALONG)
+    sf, maps = "/root/testdata/sf0.001", {}
+    for r in cross_queries.cells(spark, sf).collect():
+        m, s = maps.setdefault((r["field"], r["split"], r["feed"]), (np.zeros(SHAPE), np.zeros(SHAPE)))
+        m[r["x"], r["y"], r["z"]], s[r["x"], r["y"], r["z"]] = r["map"], r["sigma"]
+    got = {tuple(r[c] for c in (*crosses.SIDES, "across", "along")): (r["power"], r["sigma"]) for r in cross_queries.pair_spectra(spark, sf).collect()}
+    pairs = cross_queries.pairs(spark, sf)
+    seeds = {(r["pair"], r["run"], r["side"]): r["seed"] for r in crosses.noise_seeds(pairs, cross_queries.RUNS, cross_queries.SEED).collect()}
+    pairs = pairs.collect()
+    assert len(pairs) == 6 + 9 + 6 + 9 + 9 + 9 and len(got) == len(pairs) * len(plain_power(np.ones(SHAPE), np.ones(SHAPE)))
+    for p in pairs[::5]:
+        (m1, s1), (m2, s2) = maps[p["field1"], p["split1"], p["feed1"]], maps[p["field2"], p["split2"], p["feed2"]]
+        w1, w2 = plain_weights(s1, s2, True)
+        noise = [plain_power(*(np.random.default_rng(seeds[p["pair"], n, k]).normal(size=SHAPE) * s * w for k, s, w in ((1, s1, w1), (2, s2, w2)))) for n in range(cross_queries.RUNS)]
+        for at, v in plain_power(m1 * w1, m2 * w2).items():
+            power, sigma = got[*(p[c] for c in crosses.SIDES), *at]
+            assert abs(power - v) < 1e-8 and abs(sigma - np.std([x[at] for x in noise], ddof=1)) < 1e-8
+
+
 def plain_chi2(m, s, steps, kind, unit, runs, seed):
     w = np.where(s > 0, 1 / np.where(s > 0, s, 1) ** 2, 0)
 

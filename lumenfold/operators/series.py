@@ -203,6 +203,46 @@ def resegment(intervals: DataFrame, by: list[str], start: str, stop: str, length
     return rows.select(*by, "part", (F.col(start) + step * F.col("part")).alias("start"), (F.col(start) + step * (F.col("part") + 1)).alias("stop"))
 
 
+#: Status words of a telescope's scans and of its raster features. Fixed values.
+SCANNING, RASTER_SCANNING = 1, 512
+#: Fields whose long rests are cut: the name, minutes a part, and whether a lone moving interval is cut too. Fixed values.
+RESTS = {"halt": (4.0, True), "NCP": (10.0, False), "ncpfixed": (10.0, False)}
+
+
+def scan_ranges(rows: DataFrame, by: list[str], at: str, status: str, feature: str, mode: str, field: str) -> DataFrame:
+    """Scans of observations: by, part (from 0, in order), start, stop and known, in one ordered pass.
+
+    rows: status and feature words in order of `at` (days); either may be null where only the other was sampled. mode and field are the same
+    within an observation. A scan lasts from the first sample of the status 1 to the first of another after it, or to the last
+    sample. An observation at rest throughout (all 0) is one interval; of the fields in RESTS it is cut into parts of so many
+    minutes, as is the only interval of a halt, and what is shorter than one part is no scan. Rasters of jupiter are judged by
+    features, of which 512 scans. known is false where a status occurs that isn't 0, 1, 2 or 8192 (8704 for those rasters).
+    """
+    special = (F.col(mode) == "raster") & (F.col(field) == "jupiter")
+    word = F.when(special, F.col(feature)).otherwise(F.col(status))
+    read = rows.select(*by, F.col(at).alias("_at"), field, special.alias("_special"), word.alias("_word")).filter("_word is not null")
+    on = F.col("_word") == F.when(F.col("_special"), RASTER_SCANNING).otherwise(SCANNING)
+    known = F.col("_word").isin(0, 2, 8192) | on | (F.col("_special") & (F.col("_word") == 8192 + RASTER_SCANNING))
+    w = ordered(by, "_at")
+    marked = read.withColumn("_on", on).withColumn("_turn", F.when(F.col("_on") == F.lag("_on").over(w), 0).otherwise(1)).withColumn("_next", F.lead("_at").over(w))
+    marked = marked.withColumn("_run", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs_ = marked.groupBy(*by, "_run").agg(F.bool_or("_on").alias("_on"), F.min("_at").alias("start"), F.max("_at").alias("_last"), F.max(F.coalesce("_next", "_at")).alias("stop"), F.max(F.abs("_word")).alias("_most"), F.bool_and(known).alias("_known"), F.first(field).alias(field))
+    whole = Window.partitionBy(*by)
+    # at rest throughout: one run that isn't on, of zeros only
+    runs_ = runs_.withColumns({"_rest": F.max("_most").over(whole) == 0, "_ons": F.sum(F.col("_on").cast("int")).over(whole), "known": F.bool_and("_known").over(whole)})
+    kept = runs_.filter(F.col("_on") | F.col("_rest")).withColumn("stop", F.when(F.col("_rest"), F.col("_last")).otherwise(F.col("stop")))
+    minutes, lone = F.lit(None).cast("double"), F.lit(False)
+    for name, (length, moving) in RESTS.items():
+        minutes = F.when(F.col(field) == name, length).otherwise(minutes)
+        lone = lone | ((F.col(field) == name) & F.lit(moving) & (F.col("_ons") == 1))
+    cut = minutes.isNotNull() & (F.col("_rest") | lone)
+    parts = F.when(cut, F.floor((F.col("stop") - F.col("start")) * (24 * 60 / minutes))).otherwise(1)
+    cutted = kept.withColumn("_n", parts.cast("int")).filter("_n > 0").withColumn("_k", F.explode(F.expr("sequence(0, _n - 1)")))
+    step = (F.col("stop") - F.col("start")) / F.col("_n")
+    out = cutted.select(*by, "_run", "_k", (F.col("start") + step * F.col("_k")).alias("start"), F.when(F.col("_k") == F.col("_n") - 1, F.col("stop")).otherwise(F.col("start") + step * (F.col("_k") + 1)).alias("stop"), "known")
+    return out.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy("_run", "_k")) - 1).alias("part"), "start", "stop", "known")
+
+
 def fill_missing(rows: DataFrame, by: list[str], at: str, value: str, reach: int = 10, seed: int = 1) -> DataFrame:
     """Null values become normal deviates with the mean and spread of the `reach` rows to either side, drawn by (by, at, seed)."""
     w = ordered(by, at).rowsBetween(-reach, reach)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_hot, materialize
+from .common import SPACES, join_hot, materialize, unfold
 
 
 def normalised(text: Column) -> Column:
@@ -52,11 +52,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = materialize(groups.select("length", "digest", "group_size", "best"))
     # rows that repeat both id and text are counted, so that one of them stays
     copies = surviving.groupBy("_id", "points", "length", "digest").agg(F.count("*").alias("times"))
-    judged = (
-        join_hot(copies, groups, ["length", "digest"], "group_size", keys.count())
-        .withColumn("keep_id", F.col("best.id")).withColumn("best", F.col("_id").eqNullSafe(F.col("best.id")) & (-F.col("points") == F.col("best.most")))
-        .withColumn("kept", F.explode(F.expr("transform(sequence(1, cast(times as int)), i -> best and i = 1)")))
-        .select("_id", "keep_id", "group_size", "kept", "digest")
-    )
+    judged = join_hot(copies, groups, ["length", "digest"], "group_size", keys.count())
+    best = F.col("_id").eqNullSafe(F.col("best.id")) & (-F.col("points") == F.col("best.most"))
+    judged = unfold(judged, "times", "_copy").select("_id", F.col("best.id").alias("keep_id"), "group_size", (best & (F.col("_copy") == 0)).alias("kept"), "digest")
     single = alone.select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     return judged.unionByName(single).withColumnRenamed("_id", id_col)

@@ -48,7 +48,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = 0, id_co
     A row's count inverts the distribution at a hash of the seed and its id, so it is the same on
     every run and independent of partitioning; rows that repeat an id repeat alike, and null ids
     count as empty text. Adds copy (from 0) and shuffle_key; rows stand by shuffle_key inside
-    hash partitions of it, which is a random order of the whole. Columns of those names in docs
+    hash partitions of it and of their columns, which is a random order of the whole. Columns of those names in docs
     are replaced. A rate over max_rate raises: such a target can't be met from so few rows.
     """
     rates, rest = mixing_rates(docs, weights, source_col)
@@ -67,4 +67,5 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = 0, id_co
     copies = docs.withColumn(n, times).filter(F.col(n) > 0)
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n)
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order {seed}"), ids, F.col("copy").cast("string"))))
-    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+    # ids that are null or repeat share a key, so the row's other columns help to deal it out
+    return copies.repartition("shuffle_key", F.xxhash64(*docs.columns)).sortWithinPartitions("shuffle_key", "copy")

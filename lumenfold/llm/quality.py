@@ -115,18 +115,19 @@ def score_quality(docs: DataFrame, model: QualityModel, tail: int = 1, least: fl
     """Per row of docs: id_col, expected_grade, tail_probability and kept.
 
     tail_probability is that of a grade of `tail` or more; rows stay where it is `least` or more.
-    Null and empty texts have no features and get the thresholds' own probabilities.
+    Null and empty texts have no features and get the thresholds' own probabilities. Ids may be of any type, null or
+    repeated; an empty table gives an empty result; other columns are never read.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("expected_grade double, tail_probability double")
+    def grade(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         (weights, theta), buckets, shapes = shared.value, Buckets(), {}
         for batch in batches:
-            found = (text_features(t, buckets, shapes) for t in batch["_text"])
+            found = (text_features(t, buckets, shapes) for t in batch)
             z = np.array([float(weights[i] @ v) for i, v in found])
             above = _sigmoid(z[:, None] - theta)
-            yield pd.DataFrame({"_id": batch["_id"].astype("Int64"), "expected_grade": above.sum(axis=1), "tail_probability": above[:, tail - 1]})
+            yield pd.DataFrame({"expected_grade": above.sum(axis=1), "tail_probability": above[:, tail - 1]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    out = rows.mapInPandas(run, "_id long, expected_grade double, tail_probability double")
-    return out.select(F.col("_id").alias(id_col), "expected_grade", "tail_probability", (F.col("tail_probability") >= least).alias("kept"))
+    out = docs.select(F.col(id_col), grade(F.col(text_col)).alias("g"))
+    return out.select(id_col, "g.expected_grade", "g.tail_probability", (F.col("g.tail_probability") >= least).alias("kept"))

@@ -16,21 +16,23 @@ SHARDS, SHARD_SEED = 8, 13
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null conv_id is a conversation too: ids stand in a structure, which is never null."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    out = chat.format_reply_trees(chat.conversations_as_trees(rows.unionByName(extra)), branches=1)
+    both = rows.unionByName(extra).withColumn("conv_id", F.struct("conv_id"))
+    out = chat.format_reply_trees(chat.conversations_as_trees(both), branches=1)
     out = out.withColumn("turns", chat.parse_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
-        F.col("tree_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.col("tree_id.conv_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
 OP1_SQL = r"""
 WITH all_rows AS (
-  SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, role, text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,

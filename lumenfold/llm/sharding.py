@@ -6,24 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, materialize
-
-#: So many elements one row unfolds into at a time.
-UNFOLD = 4096
-
-
-def unfold(rows: DataFrame, times: str, at: str) -> DataFrame:
-    """rows with each repeated `times` times, numbered in `at` from 0. No row becomes an array of more than a few thousand elements at once."""
-    block = free_name(rows, "_block")
-    blocks = rows.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / UNFOLD / UNFOLD))))
-    left = F.col(times) - F.col(block) * UNFOLD * UNFOLD
-    blocks = blocks.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.least(left, F.lit(UNFOLD * UNFOLD)) - 1) / UNFOLD))))
-    left = left - F.col(at) * UNFOLD
-    start = (F.col(block) * UNFOLD + F.col(at)) * UNFOLD
-    one = free_name(blocks, "_one")
-    out = blocks.withColumn(one, F.explode(F.sequence(F.lit(0).cast("long"), F.least(left, F.lit(UNFOLD)) - 1)))
-    return out.withColumn(at, start + F.col(one)).drop(block, one)
-
+from .common import materialize, unfold
 
 def seeded(seed: int, *parts: Column) -> Column:
     """A whole number below 2^52 from the MD5 of seed and parts, nulls as empty texts."""

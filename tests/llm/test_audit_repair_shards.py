@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.llm import filter_audit, repair, sharding
+from lumenfold.llm import common, filter_audit, repair, sharding
 
 ODD_TEXTS = [None, "", " \t\n", "word", "A B C D", "a # b", "é" * 30 + " Ü", "x " * 99, "x " * 100, " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(20_000)), "AB" * 5 + "c" * 90, "AB" * 5 + "c" * 89]
 
@@ -175,7 +175,7 @@ def plain_shards(rows, shards, seed):
 
 
 def test_shards_match_the_mixture(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sharding, "UNFOLD", 3)
+    monkeypatch.setattr(common, "UNFOLD", 3)
     r = random.Random(2)
     sources = ["a"] * 20 + ["b", "c", None, "", "d"]
     rows = [(i, r.choice(sources), r.choice([None, "", "same", "é" * r.randrange(9), f"text {i}"])) for i in range(500)]
@@ -198,3 +198,12 @@ def test_shards_match_the_mixture(spark, tmp_path, monkeypatch):
         assert slots == list(range(sizes[k]))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(((x["id"], x["source"], x["text"]) for x in back.collect()), key=key) == sorted(((i, s or "", t or "") for i, s, t in rows), key=key)
+
+
+def test_unfold_numbers_every_copy(spark, monkeypatch):
+    monkeypatch.setattr(common, "UNFOLD", 3)
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate((1, 2, 3, 4, 8, 9, 10, 27, 28, 100))], "k int, n long")
+    got = {}
+    for x in common.unfold(rows, "n", "at").collect():
+        got.setdefault((x["k"], x["n"]), []).append(x["at"])
+    assert all(sorted(v) == list(range(n)) for (_, n), v in got.items()) and len(got) == 10

@@ -237,6 +237,22 @@ def uniformity(ptes: DataFrame, by: list[str], pte: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.max("n").alias("n"), F.max(far).alias("distance"))
 
 
+def kolmogorov(distance: Column, n: Column, terms: int = 40) -> Column:
+    """The chance of a larger Kolmogorov-Smirnov distance of n even numbers, by the limiting distribution with Stephens' correction for few."""
+    x = (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n)) * distance
+    total = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * x * x) for k in range(1, terms + 1)), F.lit(0.0))
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
+
+
+def pte_table(ptes: DataFrame, test: str, column: str, pte: str, columns: list[str]) -> DataFrame:
+    """Null tests as a table: a row for each test with its PTE in each of `columns` (fields or splits), and a last row, KS, with the chance
+    that a column's PTEs are even. Of several PTEs of a cell the smallest stands."""
+    rows = ptes.filter(F.col(column).isin(columns)).select(F.col(test).cast("string").alias("test"), F.col(column).alias("_c"), F.col(pte).alias("_p"))
+    cells = rows.groupBy("test").pivot("_c", columns).agg(F.min("_p")).withColumn("last", F.lit(False))
+    even = uniformity(rows, ["_c"], "_p").select(F.lit("KS").alias("test"), "_c", kolmogorov(F.col("distance"), F.col("n")).alias("_p"))
+    return cells.unionByName(even.groupBy("test").pivot("_c", columns).agg(F.min("_p")).withColumn("last", F.lit(True)))
+
+
 def model_chi2(bins: DataFrame, model: DataFrame, by: list[str], cell: float = 0.05) -> DataFrame:
     """Chi-square of one-dimensional spectra (by, k, power, error) against models (model, k, power), which are joined by lines between their k.
 

@@ -144,6 +144,12 @@ def transfer_function(injected: DataFrame, noise: DataFrame, signal: DataFrame,
     return three.select(*by, ((F.col("_i") - F.col("_n")) / F.nullif("_s", F.lit(0.0))).alias("transfer"))
 
 
+def cross_transfer(cross: DataFrame, signal: DataFrame, by: list[str]) -> DataFrame:
+    """Transfer from the cross spectrum of a map with the signal alone over the signal's own spectrum, in the same bins; null where that is 0."""
+    both = cross.select(*by, F.col("power").alias("_c")).join(signal.select(*by, F.col("power").alias("_s")), by)
+    return both.select(*by, (F.col("_c") / F.nullif("_s", F.lit(0.0))).alias("transfer"))
+
+
 def beam_transfer(k: Column, sigma: float, pixel: float) -> Column:
     """Power left by a Gaussian beam and by averaging over a pixel: exp(-k^2 sigma^2) sinc^2(k pixel / 2)."""
     half = k * F.lit(pixel / 2)

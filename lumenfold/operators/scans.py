@@ -144,12 +144,13 @@ def scan_facts(scans: DataFrame) -> DataFrame:
     )
 
 
-def pointing_facts(pointing: DataFrame, scans: DataFrame, by: list[str], at: str, az: str, el: str) -> DataFrame:
+def pointing_facts(pointing: DataFrame, scans: DataFrame, by: list[str], at: str, az: str, el: str, block: float = 0.01) -> DataFrame:
     """Mean azimuth and elevation and the spread of elevation of the samples within (start, stop] of each scan.
 
-    Samples are dealt by observation, so the join is on `by`, then by time.
+    Samples and scans are dealt into blocks of time of length `block` (about a scan's), in which they are joined.
     """
-    rows = pointing.join(scans.select(*by, "scanid", "start", "stop"), by).filter((F.col(at) > F.col("start")) & (F.col(at) <= F.col("stop")))
+    spans = scans.select(*by, "scanid", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("stop") / block))).alias("_block"))
+    rows = pointing.withColumn("_block", F.floor(F.col(at) / block)).join(spans, [*by, "_block"]).filter((F.col(at) > F.col("start")) & (F.col(at) <= F.col("stop")))
     return rows.groupBy("scanid").agg(circular_mean(F.col(az)).alias("mean_az"), F.avg(el).alias("mean_el"), F.stddev_pop(el).alias("std_el"), F.count("*").alias("n"))
 
 
@@ -189,8 +190,8 @@ def summary(scans: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return every_feed(means, by, "feed").withColumn("scans", F.coalesce("scans", F.lit(0)))
 
 
-def accept_trace(judged: DataFrame, keys: list[str], order: str, weight: str, total: float) -> DataFrame:
-    """Share of all bands that is still accepted after each statistic in order: `order` and accept_rate.
+def accept_trace(judged: DataFrame, keys: list[str], order: str, weight: str, total: float | None = None) -> DataFrame:
+    """Share of all bands that is still accepted after each statistic in order: `order` and accept_rate; of `total`, or of all weights.
 
     The first statistic that rejects a band is a minimum, so bands are summed by it and accumulated
     over the statistics, of which there are few.
@@ -199,5 +200,6 @@ def accept_trace(judged: DataFrame, keys: list[str], order: str, weight: str, to
     lost = first.groupBy("_out").agg(F.sum("_w").alias("_lost"))
     stats = judged.select(order).distinct()
     sums = stats.join(lost, F.col("_out") > F.col(order), "left").groupBy(order).agg(F.sum("_lost").alias("_later"))
-    whole = lost.agg(F.sum(F.when(F.col("_out").isNull(), F.col("_lost"))).alias("_never"))
+    whole = lost.agg(F.sum(F.when(F.col("_out").isNull(), F.col("_lost"))).alias("_never"), F.sum("_lost").alias("_all"))
+    total = F.col("_all") if total is None else total
     return sums.crossJoin(F.broadcast(whole)).select(order, ((F.coalesce("_later", F.lit(0.0)) + F.coalesce("_never", F.lit(0.0))) / total).alias("accept_rate"))

@@ -116,10 +116,17 @@ def binned_chi2(rows: DataFrame, by: list[str], x: str, value: str, bins: int =
 
 
 def dft_power(rows: DataFrame, by: list[str], at: str, value: str, n: int) -> DataFrame:
-    """Power spectrum of n samples per group as sums of cosines and sines, frequencies 0 to n / 2."""
-    waves = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n // 2)))).withColumn("phase", F.col("k") * F.col(at) * F.lit(2 * pi / n))
-    sums = waves.groupBy(*by, "k").agg(F.sum(F.col(value) * F.cos("phase")).alias("re"), F.sum(F.col(value) * F.sin("phase")).alias("im"))
-    return sums.select(*by, "k", ((F.col("re") ** 2 + F.col("im") ** 2) / n).alias("power"))
+    """Power spectrum of n samples per group as sums of cosines and sines, frequencies 0 to n / 2. A group's samples are one array, and its sums are taken there."""
+    streams = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("t"), F.col(value).alias("v")))).alias("s"))
+
+    def wave(k: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            phase = k * x["t"] * F.lit(2 * pi / n)
+            return F.struct((acc["re"] + x["v"] * F.cos(phase)).alias("re"), (acc["im"] + x["v"] * F.sin(phase)).alias("im"))
+
+        return F.aggregate("s", F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im")), add, lambda acc: F.struct(k.alias("k"), ((acc["re"] ** 2 + acc["im"] ** 2) / n).alias("power")))
+
+    return streams.select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(n // 2)), wave)).alias("_w")).select(*by, "_w.k", "_w.power")
 
 
 def circular_mean(angle: Column) -> Column:

@@ -13,15 +13,47 @@ def long_matrix(rows: DataFrame, channel: str, samples: str, keep: list[str] = (
     return rows.select(channel, *keep, F.posexplode(samples).alias("t", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-def correlation(long: DataFrame, by: list[str], channel: str, at: str = "t") -> DataFrame:
-    """Pearson correlations of channel pairs of a group, by an equi-join on time.
+def correlation(long: DataFrame, by: list[str], channel: str, at: str = "t", block: int = 256) -> DataFrame:
+    """Pearson correlations of channel pairs of a group, over the times both have: by, a, b (a < b) and corr; null where one doesn't vary.
 
-    Pairs of one group of channels are the result itself; groups are detectors' bands, of a
-    fixed number of channels.
+    Channels become arrays and are dealt into blocks of about `block` by hash; each two blocks meet in one task, as one
+    product of matrices, so what is shuffled is every array once for each block, and rows are made for pairs only.
     """
-    a = long.select(*by, at, F.col(channel).alias("a"), F.col("value").alias("x"))
-    b = long.select(*by, at, F.col(channel).alias("b"), F.col("value").alias("y"))
-    return a.join(b, [*by, at]).filter("a < b").groupBy(*by, "a", "b").agg(F.corr("x", "y").alias("corr"))
+    kinds = {f.name: f.dataType.simpleString() for f in long.schema.fields}
+    arrays = long.groupBy(*by, channel).agg(F.collect_list(F.struct(F.col(at).alias("t"), F.col("value").cast("double").alias("v"))).alias("cells"))
+    parts = arrays.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    dealt = arrays.join(parts, by).withColumn("_part", F.pmod(F.xxhash64(channel), F.col("_parts")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.expr("sequence(0, _parts - 1)")))
+    dealt = dealt.withColumn("_x", F.least("_part", "_other")).withColumn("_y", F.greatest("_part", "_other")).drop("_parts", "_other")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        names, part = group[channel].to_numpy(), group["_part"].to_numpy()
+        x, y = group["_x"].iloc[0], group["_y"].iloc[0]
+        row = np.repeat(np.arange(len(group)), group["cells"].map(len))
+        cells = [c for cells in group["cells"] for c in cells]
+        column, times = pd.factorize(np.array([c["t"] for c in cells]))
+        m, seen = np.zeros((len(group), len(times))), np.zeros((len(group), len(times)))
+        values = np.array([np.nan if c["v"] is None else c["v"] for c in cells])
+        ok = ~np.isnan(values)
+        m[row[ok], column[ok]], seen[row[ok], column[ok]] = values[ok], 1
+        m -= seen * (m.sum(axis=1) / np.maximum(seen.sum(axis=1), 1))[:, None]
+        i, j = np.flatnonzero(part == x), np.flatnonzero(part == y)
+        a, b, sa, sb = m[i], m[j], seen[i], seen[j]
+        n, ma, mb = sa @ sb.T, a @ sb.T, sa @ b.T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            va, vb = (a * a) @ sb.T - ma * ma / n, sa @ (b * b).T - mb * mb / n
+            corr = (a @ b.T - ma * mb / n) / np.sqrt(va * vb)
+        p, q = np.nonzero((n > 0) & (names[i][:, None] < names[j][None, :]) if x == y else n > 0)
+        first, second = names[i][p], names[j][q]
+        turn = first > second
+        out = pd.DataFrame({"a": np.where(turn, second, first), "b": np.where(turn, first, second), "corr": np.where(np.isfinite(corr[p, q]), corr[p, q], np.nan)})
+        for name in reversed(by):
+            out.insert(0, name, pd.Series([group[name].iloc[0]] * len(out), dtype=object))  # also where no pair is
+        return out
+
+    fields = "".join(f"{c} {kinds[c]}, " for c in by)
+    out = dealt.groupBy(*by, "_x", "_y").applyInPandas(run, f"{fields}a {kinds[channel]}, b {kinds[channel]}, corr double")
+    return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
 def principal_components(rows: DataFrame, by: str, samples: str, components: int) -> DataFrame:
@@ -69,10 +101,3 @@ def k_average(spectra: DataFrame, by: list[str], k: str, power: str, edges: list
     """Means and mode counts in k bins; an edge belongs to the bin above it."""
     bin_ = sum(F.when(F.col(k) >= e, 1).otherwise(0) for e in edges) - 1
     return spectra.withColumn("bin", bin_).filter(F.col("bin").between(0, len(edges) - 2)).groupBy(*by, "bin").agg(F.avg(power).alias("power"), F.count("*").alias("modes"))
-
-
-def pair_average(spectra: DataFrame, by: list[str], value: str, sigma: str) -> DataFrame:
-    """Inverse-variance mean of spectra that are finite, non-zero and have a sigma."""
-    w = 1 / F.nullif(F.col(sigma) ** 2, F.lit(0.0))
-    ok = spectra.filter(F.col(value).isNotNull() & (F.col(value) != 0) & F.col(sigma).isNotNull())
-    return ok.groupBy(*by).agg((F.sum(F.col(value) * w) / F.sum(w)).alias("mean"), (1 / F.sqrt(F.sum(w))).alias("sigma"), F.count("*").alias("pairs"))

@@ -127,6 +127,33 @@ def _with_bins(name: str, cross: list[str], bin_: int, secondary: list[str]) ->
     return "".join(f"{n}{bin_ if n in cross else name[i * 5 + 4]}" for i, n in enumerate(secondary))
 
 
+def map_keys(bits: Column, order: list[str], primary: list[str], secondary: list[str], temporal: list[str] = ()) -> Column:
+    """The maps that a scan goes to, as names primary + half + last secondary + half + ... + first secondary + half; empty if it isn't accepted.
+
+    bits: of `split_bits`; order: names of its bits from 1. Variables in temporal halve samples instead of scans, so a scan goes to both
+    their halves: each of those names stands with 0 and with 1, in every combination.
+    """
+    def half(name: str) -> Column:
+        if name in temporal:
+            return F.array(F.lit(f"{name}0"), F.lit(f"{name}1"))
+        bit = F.shiftright(bits, order.index(name) + 1).bitwiseAND(F.lit(1)).cast("string")
+        return F.array(F.concat(F.lit(name), bit))
+
+    def all_of(names: list[str]) -> Column:
+        out = F.array(F.lit(""))
+        for name in names:
+            out = _product(out, half(name))
+        return out
+
+    keys = F.flatten(F.array(*[all_of([p, *reversed(secondary)]) for p in primary]))
+    return F.when(bits.bitwiseAND(F.lit(1)) == 1, keys).otherwise(F.array().cast("array<string>"))
+
+
+def _product(heads: Column, tails: Column) -> Column:
+    """Every head with every tail behind it."""
+    return F.flatten(F.transform(heads, lambda head: F.transform(tails, lambda tail: F.concat(head, tail))))
+
+
 def split_pairs(primary: list[str], secondary: list[str], cross: list[str], null_difference: bool = False) -> list[tuple]:
     """The pairs of split maps whose spectra are crossed, as names primary + bin + secondary + bin ....
 

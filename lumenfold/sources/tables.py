@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What each store is partitioned by.
-STORES = {"streams": ["field", "scan"], "channels": ["field", "scan"], "statistics": ["field"], "accepted": ["field"], "splits": ["field"], "maps": ["split_key", "feed"], "spectra": ["split1", "split2"]}
+STORES = {"streams": ["field", "scan"], "channels": ["field", "scan"], "statistics": ["field"], "accepted": ["field"], "splits": ["field"], "maps": ["split_key", "feed"], "spectra": ["split1", "split2"],
+          "noise_runs": ["split1", "split2"], "average_spectra": ["field1", "field2"], "transfer": ["name"], "models": ["name"], "null_tests": ["field"]}
 
 
 def write_store(rows: DataFrame, root: str, store: str) -> None:
@@ -19,6 +20,15 @@ def write_store(rows: DataFrame, root: str, store: str) -> None:
     rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(f"{root}/{store}")
 
 
+def append_store(rows: DataFrame, root: str, store: str, keys: list[str]) -> None:
+    """Add the rows whose keys the store doesn't have yet; what it has stays as it is. A store that isn't there begins with them."""
+    spark, path = rows.sparkSession, f"{root}/{store}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        rows = rows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
+    rows.write.mode("append").option("compression", "zstd").partitionBy(*STORES[store]).parquet(path)
+
+
 def read_store(spark: SparkSession, root: str, store: str, columns: list[str] | None = None, **values) -> DataFrame:
     """Rows of a store, of some columns and of partitions by value (a value or a list): only those are read."""
     rows = spark.read.parquet(f"{root}/{store}")

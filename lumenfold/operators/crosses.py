@@ -43,6 +43,11 @@ def noise_seeds(pairs: DataFrame, runs: int, seed: int) -> DataFrame:
 
 
 def _bins(shape, steps, across, along):
+    if along is None:  # spheres: bins of |k| without k = 0
+        k = np.sqrt(sum(np.meshgrid(*[(2 * np.pi * np.fft.fftfreq(n, d)) ** 2 for n, d in zip(shape, steps)], indexing="ij"))).ravel()
+        edges = [np.asarray(across), np.array([-1.0, 1.0])]
+        first = np.where(k > 0, k, edges[0][0] - 1)
+        return first, np.zeros_like(k), edges, np.histogram2d(first, np.zeros_like(k), edges)[0]
     kx, ky, kz = (2 * np.pi * np.fft.fftfreq(n, d) for n, d in zip(shape, steps))
     k_across = np.sqrt(kx[:, None, None] ** 2 + ky[None, :, None] ** 2 + 0 * kz).ravel()
     k_along = np.abs(0 * kx[:, None, None] + 0 * ky[None, :, None] + kz).ravel()
@@ -62,10 +67,10 @@ def _weights(s1: np.ndarray, s2: np.ndarray, symmetric: bool) -> tuple[np.ndarra
     return tuple(np.divide(w, size := np.sqrt(np.mean(w * w)), out=np.zeros_like(w), where=size > 0) for w in (w1, w2))
 
 
-def pair_spectra(maps: DataFrame, pairs: DataFrame, shape: tuple[int, int, int], steps: tuple[float, float, float], across: list[float], along: list[float], runs: int = 0, seed: int = 1, runs_a_task: int = 8, symmetric: bool = True) -> DataFrame:
+def pair_spectra(maps: DataFrame, pairs: DataFrame, shape: tuple[int, int, int], steps: tuple[float, float, float], across: list[float], along: list[float] | None, runs: int = 0, seed: int = 1, runs_a_task: int = 8, symmetric: bool = True) -> DataFrame:
     """Pseudo cross spectra of pairs and of their noise runs: pair, run (-1 for the data), across, along, power and modes.
 
-    maps: field, split, feed, x, y, z, map, sigma; pairs: of `map_pairs`. Both sides of a pair are joined to the cells
+    Without `along`, across are spheres of |k|, k = 0 left out. maps: field, split, feed, x, y, z, map, sigma; pairs: of `map_pairs`. Both sides of a pair are joined to the cells
     of their map, so a map is read for the pairs it has and no cell meets another map's. A noise run is a normal map of
     each side's sigma under its own seed (`noise_seeds`); runs of a pair are dealt to tasks `runs_a_task` at a time, so
     results don't depend on how they lie. Pairs without common cells have powers of 0.

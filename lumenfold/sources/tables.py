@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: What each store is partitioned by.
 STORES = {"streams": ["field", "scan"], "channels": ["field", "scan"], "statistics": ["field"], "accepted": ["field"], "splits": ["field"], "maps": ["split_key", "feed"], "spectra": ["split1", "split2"],
-          "noise_runs": ["split1", "split2"], "average_spectra": ["field1", "field2"], "transfer": ["name"], "models": ["name"], "null_tests": ["field"]}
+          "noise_runs": ["split1", "split2"], "average_spectra": ["field1", "field2"], "transfer": ["name"], "models": ["name"], "null_tests": ["field"],
+          "modes": ["scan"], "calibrations": ["obsid"], "aliasing": ["feed"], "standing_waves": ["field"]}
 
 
 def write_store(rows: DataFrame, root: str, store: str) -> None:
@@ -37,6 +38,14 @@ def read_store(spark: SparkSession, root: str, store: str, columns: list[str] |
     return rows.select(*columns) if columns else rows
 
 
+def read_or_none(spark: SparkSession, root: str, store: str, schema: str, **values) -> DataFrame:
+    """A store's rows, or none of the schema where the store isn't there: what joins it gets nulls, and its users mask those."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{store}")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return read_store(spark, root, store, **values)
+    return spark.createDataFrame([], schema)
+
+
 def map_name(kind: str, modes: int = 0, norm: str = "", highpass: int = 0, cube: bool = False) -> str:
     """The name of a map product with the suffixes of what was done to it."""
     return kind + (f"_highpass_{highpass}" if highpass else "") + (f"_n{modes}_subtr_{norm}" if modes else "") + ("_simcube" if cube else "")

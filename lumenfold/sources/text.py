@@ -25,6 +25,37 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("p")[0].alias("name"), F.col("p")[1].cast("int").alias("type"), F.array_contains(F.slice("p", 3, 9), "1").alias("cross"), F.contains("code", F.lit("$")).alias("temporal"))
 
 
+def split_roles(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The variables of a split definition file by what each use of it needs, in the file's order.
+
+    bits: those that halve scans, in the order of their bits from 1 (temporal ones have none); primary, secondary and temporal: what maps are
+    made for; cross, cross_primary and cross_secondary: what spectra are crossed over. A file is read as one piece; it is a few dozen lines.
+    """
+    lines = [line for row in spark.read.text(path, wholetext=True).collect() for line in row[0].split("\n")]
+    roles: dict[str, list[str]] = {k: [] for k in ("bits", "primary", "secondary", "temporal", "cross", "cross_primary", "cross_secondary")}
+    for line in lines:
+        code = line.split("#")[0]
+        words = code.split("$")[0].split()
+        if len(words) < 2 or len(words[0]) != 4 or words[1] not in ("2", "3"):
+            continue
+        name, kind = words[0], "primary" if words[1] == "2" else "secondary"
+        roles[kind].append(name)
+        roles["temporal" if "$" in code else "bits"].append(name)
+        if len(words) > 2 and words[-1] == "1":
+            roles["cross"].append(name)
+            roles[f"cross_{kind}"].append(name)
+    return roles
+
+
+def read_profile(spark: SparkSession, radius_path: str, value_path: str) -> DataFrame:
+    """A radial profile from two text files of a number a line, which lie side by side: r and value."""
+    def column(path: str, name: str) -> DataFrame:
+        text = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("at", "x"))
+        return text.select("at", F.col("x").cast("double").alias(name))
+
+    return column(radius_path, "r").join(column(value_path, "value"), "at").drop("at")
+
+
 def read_runlist(spark: SparkSession, path: str) -> DataFrame:
     """Scans of runlist files with what stands in the headers above them: scanid, mjd_start, mjd_stop, scantype, field, obsid, file.
 
@@ -32,7 +63,7 @@ def read_runlist(spark: SparkSession, path: str) -> DataFrame:
     path`, and per scan `id start stop type ...`. A line's kind shows in its shape; a file is laid out in one
     task in its own order, as one scan catalogue is small.
     """
-    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("_file"), F.posexplode(F.split("value", "\n")).alias("_at", "_line"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.posexplode(F.split("value", "\n")).alias("_at", "_line"))
     p = text.withColumn("p", F.split(F.trim("_line"), r"\s+"))
     first, n = F.col("p")[0], F.size("p")
     is_scan = F.rlike(first, F.lit("^[0-9]{8,}$")) & (n >= 4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,13 @@ def delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the files of shuffles go that no plan needs any more. Spark drops them when the driver collects its garbage, and a driver
+    with little to do hardly ever does: between large steps, each written out, it is worth asking."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def purge_scratch(spark: SparkSession) -> None:
     """Delete this session's intermediate tables (in `scratch`: those of the block), once all results that use them are written."""
     delete(spark, scratch_dir(spark))

@@ -13,7 +13,7 @@ from lumenfold.sources.text import read_scans, read_splits
 from lumenfold.streaming.maps import stream_map, streamed_map
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("lineitem", "events", "embeddings", "orders", "customer", "part", "supplier")
+TABLES = ("lineitem", "events", "embeddings", "orders", "customer", "part", "supplier", "nation", "region")
 
 
 def canonical(frame):

@@ -183,11 +183,10 @@ def cross_validate(labelled: DataFrame, grid: dict[str, tuple] = GRID, folds: in
     return table_.mapInPandas(run, "outer int, inner int, setting int, rows int, loss double, errors int")
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id_col and score, the probability that the whole text is toxic.
+def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with the probability that each row's whole text is toxic. Rows aren't moved, and only the text is read for it.
 
-    Null and empty texts score as a text without n-grams does. Ids may be of any type, null or repeated; they aren't
-    looked at. An empty table gives an empty result; other columns are never read.
+    Null and empty texts score as a text without n-grams does; an empty table stays empty. A column of that name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
@@ -198,7 +197,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             z = np.array([bias + weights[ngram_buckets(t, flags)].sum() for t in batch])
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    return docs.select(F.col(id_col), score(F.col(text_col)).alias("score"))
+    return docs.withColumn(name, score(F.col(text_col)))
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: id_col and score, as `with_toxicity` has it. Ids may be of any type, null or repeated; they aren't looked at."""
+    return with_toxicity(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), model, "_text").select(F.col("_id").alias(id_col), "score")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, train_only) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -52,9 +53,12 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let the files of shuffles go that no plan needs any more. Spark drops them when the driver collects its garbage, and a driver
-    with little to do hardly ever does: between large steps, each written out, it is worth asking."""
-    gc.collect()
-    spark._jvm.System.gc()
+    with little to do hardly ever does: between large steps, each written out, it is worth asking. Twice, since what Python lets go
+    reaches Spark a little later."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def purge_scratch(spark: SparkSession) -> None:

@@ -147,10 +147,16 @@ def scan_facts(scans: DataFrame) -> DataFrame:
 def pointing_facts(pointing: DataFrame, scans: DataFrame, by: list[str], at: str, az: str, el: str, block: float = 0.01) -> DataFrame:
     """Mean azimuth and elevation and the spread of elevation of the samples within (start, stop] of each scan.
 
-    Samples and scans are dealt into blocks of time of length `block` (about a scan's), in which they are joined.
+    Samples and scans meet in blocks of time: a scan in blocks of `block`, doubled until it stands in two at most, so that a long one
+    is no more rows than a short one; samples in blocks of the lengths that the scans of their detector have.
     """
-    spans = scans.select(*by, "scanid", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("stop") / block))).alias("_block"))
-    rows = pointing.withColumn("_block", F.floor(F.col(at) / block)).join(spans, [*by, "_block"]).filter((F.col(at) > F.col("start")) & (F.col(at) <= F.col("stop")))
+    length = F.col("stop") - F.col("start")
+    level = F.greatest(F.ceil(F.log2(length / block)), F.lit(0)).cast("int")
+    spans = scans.select(*by, "scanid", "start", "stop", level.alias("_level")).withColumn("_size", F.pow(F.lit(2.0), "_level") * block)
+    spans = spans.withColumn("_block", F.explode(F.sequence(F.floor(F.col("start") / F.col("_size")), F.floor(F.col("stop") / F.col("_size")))))
+    levels = spans.groupBy(*by).agg(F.collect_set("_level").alias("_levels"))
+    rows = pointing.join(levels, by).withColumn("_level", F.explode("_levels")).withColumn("_block", F.floor(F.col(at) / (F.pow(F.lit(2.0), "_level") * block)))
+    rows = rows.drop("_levels").join(spans.drop("_size"), [*by, "_level", "_block"]).filter((F.col(at) > F.col("start")) & (F.col(at) <= F.col("stop")))
     return rows.groupBy("scanid").agg(circular_mean(F.col(az)).alias("mean_az"), F.avg(el).alias("mean_el"), F.stddev_pop(el).alias("std_el"), F.count("*").alias("n"))
 
 

@@ -1,6 +1,6 @@
 """What made queries fail on larger tables: plans and sizes that grow faster than the input, and ties."""
 
-from lumenfold.operators import series
+from lumenfold.operators import scans, series
 from lumenfold.plans import filter_queries
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +22,10 @@ def test_edge_mask_limit_between_all_but_equal_values(spark):
     rows = [(1, t, v) for t, v in enumerate([40.1, 0.1, 20.1, 20.1, 40.1, 40.1, 60.1, 80.1, 120.1])]
     got = series.edge_mask(spark.createDataFrame(rows, "k int, t int, v double"), ["k"], "t", "v", 0.8, 1).filter("masked").collect()
     assert sorted(r["t"] for r in got) == [0, 1, 7, 8]
+
+
+def test_pointing_of_a_scan_of_very_many_blocks(spark):
+    rows = spark.createDataFrame([(1, t / 4, 10.0, float(t)) for t in range(4001)], "feed int, at double, az double, el double")
+    some = spark.createDataFrame([(1, 7, 0.0, 1000.0), (1, 8, 3.0, 3.5), (1, 9, 5.0, 5.0), (1, 10, None, 6.0)], "feed int, scanid int, start double, stop double")
+    got = {r["scanid"]: (r["n"], r["mean_el"]) for r in scans.pointing_facts(rows, some, ["feed"], "at", "az", "el", 1e-7).collect()}
+    assert got == {7: (4000, 2000.5), 8: (2, 13.5)}

@@ -187,3 +187,9 @@ def box_sums(pairs: DataFrame, by: list[str], size: int, samples: int) -> DataFr
     far = pairs.filter(F.col("b") - F.col("a") > 1).withColumn("box_a", F.floor(F.col("a") / size).cast("int")).withColumn("box_b", F.floor(F.col("b") / size).cast("int"))
     sums = far.filter("box_a < box_b").groupBy(*by, "box_a", "box_b").agg(F.sum(F.col("corr") ** 2).alias("s"), F.sum("corr").alias("t"), F.greatest(F.count_if(F.col("corr") != 0), F.lit(1)).alias("dof"))
     return sums.select(*by, "box_a", "box_b", "dof", ((F.col("s") * samples - F.col("dof")) / F.sqrt(2.0 * F.col("dof"))).alias("chi2"), (F.col("t") * F.sqrt(F.lit(float(samples)) / F.col("dof"))).alias("total"))
+
+
+def box_statistics(sums: DataFrame, by: list[str], samples: int) -> DataFrame:
+    """The same from sums over pairs (`spectra.correlation_sums` by box, of channels that aren't neighbours)."""
+    out = sums.filter("i < j").select(*by, F.col("i").cast("int").alias("box_a"), F.col("j").cast("int").alias("box_b"), F.col("squares").alias("s"), F.col("total").alias("t"), F.greatest("nonzero", F.lit(1).cast("long")).alias("dof"))
+    return out.select(*by, "box_a", "box_b", "dof", ((F.col("s") * samples - F.col("dof")) / F.sqrt(2.0 * F.col("dof"))).alias("chi2"), (F.col("t") * F.sqrt(F.lit(float(samples)) / F.col("dof"))).alias("total"))

@@ -210,15 +210,15 @@ PAIRS = f"{GRID}, pr AS (SELECT x.sb, x.chan AS a, y.chan AS b, corr(x.value, y.
 @query(f"""WITH {PAIRS}, f AS (SELECT * FROM pr WHERE b - a > 1), u AS (SELECT sb, a AS chan, corr FROM f UNION ALL SELECT sb, b, corr FROM f)
 SELECT sb, chan, round(max(abs(corr)), 5) AS strongest, max(abs(corr)) > 0.4 AS correlated FROM u GROUP BY ALL""")
 def strongest_correlation(spark, sf_dir):
-    pairs = spectra.correlation(grid(spark, sf_dir), ["sb"], "chan")
-    return masking.strongest_correlation(pairs, ["sb"], 0.4).select("sb", "chan", r("strongest", 5).alias("strongest"), "correlated")
+    largest = spectra.largest_correlation(grid(spark, sf_dir), ["sb"], "chan").withColumnRenamed("largest", "strongest")
+    return largest.withColumn("correlated", F.col("strongest") > 0.4).select("sb", "chan", r("strongest", 5).alias("strongest"), "correlated")
 
 
 @query(f"""WITH {PAIRS}, f AS (SELECT *, CAST(floor(a / 64.0) AS INTEGER) AS box_a, CAST(floor(b / 64.0) AS INTEGER) AS box_b FROM pr WHERE b - a > 1), s AS (SELECT sb, box_a, box_b, sum(corr * corr) AS s, sum(corr) AS t, greatest(count(*) FILTER (corr <> 0), 1) AS dof FROM f WHERE box_a < box_b GROUP BY ALL)
 SELECT sb, box_a, box_b, CAST(dof AS BIGINT) AS dof, round((s * 64 - dof) / sqrt(2.0::DOUBLE * dof), 4) AS chi2, round(t * sqrt(64.0::DOUBLE / dof), 4) AS total FROM s""")
 def correlation_boxes(spark, sf_dir):
-    pairs = spectra.correlation(grid(spark, sf_dir), ["sb"], "chan")
-    return masking.box_sums(pairs, ["sb"], 64, 64).select("sb", "box_a", "box_b", "dof", r("chi2").alias("chi2"), r("total").alias("total"))
+    sums = spectra.correlation_sums(grid(spark, sf_dir), ["sb"], "chan", lambda chan: chan // 64, apart=2)
+    return masking.box_statistics(sums, ["sb"], 64).select("sb", "box_a", "box_b", "dof", r("chi2").alias("chi2"), r("total").alias("total"))
 
 
 @query(f"""WITH {CHANNELS}, s AS (SELECT *, avg(kept::INT) OVER (PARTITION BY feed, sb) AS share FROM (SELECT * REPLACE (size > 45 AS kept) FROM ch))

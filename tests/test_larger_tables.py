@@ -1,7 +1,12 @@
 """What made queries fail on larger tables: plans and sizes that grow faster than the input, and ties."""
 
-from lumenfold.operators import scans, series
-from lumenfold.plans import filter_queries
+import numpy as np
+import pandas as pd
+import pytest
+
+from lumenfold.operators import scans, series, spectra
+from lumenfold.plans import filter_queries, map_queries, scan_queries, signal_queries  # noqa: F401
+from lumenfold.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +34,36 @@ def test_pointing_of_a_scan_of_very_many_blocks(spark):
     some = spark.createDataFrame([(1, 7, 0.0, 1000.0), (1, 8, 3.0, 3.5), (1, 9, 5.0, 5.0), (1, 10, None, 6.0)], "feed int, scanid int, start double, stop double")
     got = {r["scanid"]: (r["n"], r["mean_el"]) for r in scans.pointing_facts(rows, some, ["feed"], "at", "az", "el", 1e-7).collect()}
     assert got == {7: (4000, 2000.5), 8: (2, 13.5)}
+
+
+@pytest.mark.parametrize("name", ["correlation_boxes", "correlation_blocks", "strongest_correlation", "mean_correlation"])
+def test_pairs_are_summed_where_matrices_are(spark, name):
+    """No rows of pairs: the plan has no column of correlations before what they come to."""
+    plan = plan_of(plans.QUERIES[name](spark, SF))
+    assert "FlatMapGroupsInPandas" in plan and "corr#" not in plan.split("FlatMapGroupsInPandas")[1].split("\n")[0]
+
+
+def test_sums_and_largest_of_correlations_with_gaps(spark):
+    g = np.random.default_rng(5)
+    for gaps in (True, False):
+        m = g.normal(size=(600, 12)) + 3
+        m[7] = 2.0
+        if gaps:
+            m[g.random(m.shape) < 0.1] = np.nan
+        rows = [(1, c, t, None if np.isnan(m[c, t]) else float(m[c, t])) for c in range(600) for t in range(12)]
+        long = spark.createDataFrame(rows, "sb int, chan long, t int, value double").repartition(3)
+        frame = pd.DataFrame(m.T)
+        corr, common = frame.corr().to_numpy(), (~np.isnan(m)).astype(int) @ (~np.isnan(m)).T
+        corr[7], corr[:, 7] = np.nan, np.nan
+        a, b = np.indices(corr.shape)
+        pair = (b - a >= 2) & (common > 0)
+        sums = {(r["i"], r["j"]): r for r in spectra.correlation_sums(long, ["sb"], "chan", lambda c: c % 7 // 2, apart=2).collect()}
+        for (i, j), r in sums.items():
+            cell = corr[pair & (a % 7 // 2 == i) & (b % 7 // 2 == j)]
+            some = cell[~np.isnan(cell)]
+            assert (r["pairs"], r["valid"], r["nonzero"]) == (len(cell), len(some), len(some))
+            assert np.allclose([r["total"], r["squares"], r["largest"]], [some.sum(), (some**2).sum(), np.abs(some).max()])
+        assert len(sums) == 16
+        got = {r["chan"]: r["largest"] for r in spectra.largest_correlation(long, ["sb"], "chan").collect()}
+        both = np.abs(np.where((abs(a - b) >= 2) & (common > 0), corr, np.nan))
+        assert len(got) == 600 and got[7] is None and all(np.isclose(got[c], np.nanmax(both[c])) for c in range(600) if c != 7)

@@ -98,8 +98,9 @@ def abundance_matching(spark, sf_dir):
 c AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, corr(a.v, b.v) AS c FROM x a JOIN x b USING (label, t) WHERE a.vec_id < b.vec_id GROUP BY ALL)
 SELECT label, CAST(floor(a / 100) AS INTEGER) AS i, CAST(floor(b / 100) AS INTEGER) AS j, round(avg(c), 5) AS mean, round(max(abs(c)), 5) AS largest, count(*) AS n FROM c GROUP BY ALL""")
 def correlation_blocks(spark, sf_dir):
-    pairs = spectra.correlation(spectra.long_matrix(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["label"]), ["label"], "vec_id")
-    return fields.block_means(pairs, ["label"], "a", "b", "corr", 100).select("label", "i", "j", r("mean", 5).alias("mean"), r("largest", 5).alias("largest"), "n")
+    long = spectra.long_matrix(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["label"])
+    sums = spectra.correlation_sums(long, ["label"], "vec_id", lambda chan: chan // 100)
+    return sums.select("label", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), r(F.col("total") / F.nullif("valid", F.lit(0)), 5).alias("mean"), r("largest", 5).alias("largest"), F.col("pairs").alias("n"))
 
 
 @query(f"""WITH {EV}, p AS (SELECT feed, avg(value) FILTER (sb = 'view') AS i, avg(value) FILTER (sb = 'click') AS n, avg(value) FILTER (sb = 'purchase') AS s FROM ev GROUP BY feed)

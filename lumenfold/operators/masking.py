@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.settled import settled
 from .series import ordered
 
 #: Reasons by bit.
@@ -111,75 +112,146 @@ def accept_rate(channels: DataFrame, by: list[str]) -> DataFrame:
     return channels.groupBy(*by).agg(F.avg(F.col("kept").cast("double")).alias("accept_rate"), F.count("*").alias("channels"))
 
 
-def _blocks(c: np.ndarray, size: int, jump: int, tall: bool) -> tuple[np.ndarray, ...]:
-    """Of all boxes (or of stripes of rows): sums of c^2, c and products of lines `jump` apart, and how many are not 0."""
-    n = len(c) // size
-    if tall:
-        boxes = c[: n * size].reshape(n, size, 1, c.shape[1]).copy()
-        boxes[:, :, 0, :size][:, np.tril_indices(size)[0], np.tril_indices(size)[1]] = 0  # as if each stripe began the diagonal
-        x, y = boxes[..., :-jump:2], boxes[..., jump::2]
-    else:
-        boxes = c[: n * size, : n * size].reshape(n, size, n, size)
-        x, y = boxes[:, :-jump:2], boxes[:, jump::2]
-    over, prod = (1, 3), x * y
-    return (boxes**2).sum(axis=over), boxes.sum(axis=over), (boxes != 0).sum(axis=over), prod.sum(axis=over), (prod != 0).sum(axis=over)
+def _panels(rows: DataFrame, by: list[str], samples: str, width: int, halo: int) -> DataFrame:
+    """Channels (at their places `_at` of `_of`) in panels of places, repeated for each two panels _i, _j that meet: `_row` as a row of i's, else as a column of j's.
 
-
-def box_stripe_mask(
-    c: np.ndarray, kept: np.ndarray, bits: np.ndarray, samples: int, jump: int, boxes=(32, 128, 512), stripes=(32, 128, 1024),
+    A group has eight panels, or as many as hold 65,536 channels each, of multiples of `width`; columns reach `halo` beyond their panel.
+    """
+    wide = F.greatest(F.lit(1), F.least(F.ceil(F.col("_of") / (8 * width)), F.lit(max(1, 65536 // width)))) * width
+    rows = rows.withColumn("_wide", wide).withColumn("_all", F.expr("sequence(0L, (_of - 1) div _wide)")).withColumn("_own", F.expr("_at div _wide"))
+    keep = [*by, "_at", "_of", "_wide", "kept", samples]
+    as_rows = rows.select(*keep, F.lit(True).alias("_row"), F.col("_own").alias("_i"), F.explode("_all").alias("_j"))
+    near = F.expr(f"if(_own > 0 and _at % _wide < {halo}, array(_own, _own - 1), array(_own))")
+    as_columns = rows.withColumn("_j", F.explode(near)).select(*keep, F.lit(False).alias("_row"), F.explode("_all").alias("_i"), "_j")
+    return as_rows.unionByName(as_columns)
+
+
+def _strips(group: pd.DataFrame, samples: str, size: int, halo: int):
+    """Correlations of a row panel with a column panel, strip by strip of whole multiples of `size` rows: first row, first column, matrix with 0 for neighbours and what is masked."""
+    wide, of, i, j = (int(group[c].iloc[0]) for c in ("_wide", "_of", "_i", "_j"))
+    sides = []
+    for row, lo, hi in ((True, i * wide, (i + 1) * wide), (False, j * wide, (j + 1) * wide + halo)):
+        side = group[group["_row"] == row]
+        m = np.stack([np.asarray(s, dtype=float) for s in side[samples]])
+        m = m - m.mean(axis=1, keepdims=True)
+        length = np.sqrt((m * m).sum(axis=1))
+        z = np.zeros((min(hi, of) - lo, m.shape[1]))
+        z[side["_at"].to_numpy() - lo] = m / np.where((length > 0) & side["kept"].to_numpy(dtype=bool), length, np.inf)[:, None]
+        sides.append(z)
+    high = size * max(1, 512 // size)
+    columns = np.arange(len(sides[1])) + j * wide
+    for k in range(0, len(sides[0]), high):
+        c = sides[0][k : k + high] @ sides[1].T
+        first = i * wide + k
+        if first - 1 <= columns[-1] and columns[0] <= first + len(c):
+            c[np.abs(np.arange(first, first + len(c))[:, None] - columns[None, :]) <= 1] = 0
+        yield first, j * wide, c
+
+
+def _box_hits(group: pd.DataFrame, samples: str, size: int, jump: int, limits: tuple, times: int) -> list[tuple[int, str]]:
+    """Boxes off the diagonal that are too strong: each box's number on either side, and the test."""
+    hits, of = set(), int(group["_of"].iloc[0])
+    for first, begin, c in _strips(group, samples, size, 0):
+        n, m = (min(len(c), of // size * size - first) // size, min(c.shape[1], of // size * size - begin) // size)
+        if n <= 0 or m <= 0:
+            continue
+        boxes = c[: n * size, : m * size].reshape(n, size, m, size)
+        prod = boxes[:, :-jump:2] * boxes[:, jump::2]
+        dof, n_prod = np.maximum((boxes != 0).sum(axis=(1, 3)), 1), np.maximum((prod != 0).sum(axis=(1, 3)), 1)
+        strong = {"chi2": ((boxes**2).sum(axis=(1, 3)) * times - dof) / np.sqrt(2 * dof) > limits[0], "prod": prod.sum(axis=(1, 3)) * times / np.sqrt(n_prod) > limits[1]}
+        strong["sum"] = np.abs(boxes.sum(axis=(1, 3))) * np.sqrt(times / dof) > limits[2]
+        upper = (first // size + np.arange(n))[:, None] < (begin // size + np.arange(m))[None, :]
+        for test, bad in strong.items():
+            p, q = np.nonzero(bad & upper)
+            hits |= {(int(x), test) for x in first // size + p} | {(int(x), test) for x in begin // size + q}
+    return sorted(hits)
+
+
+def _stripe_sums(group: pd.DataFrame, samples: str, size: int, jump: int) -> list[tuple]:
+    """Of each stripe of rows, over the panel's columns: squares, numbers that aren't 0, products of columns `jump` apart, and those that aren't 0."""
+    out, of, wide = [], int(group["_of"].iloc[0]), int(group["_wide"].iloc[0])
+    for first, begin, c in _strips(group, samples, size, jump):
+        n = min(len(c), of // size * size - first) // size
+        if n <= 0:
+            continue
+        c = c[: n * size]
+        if begin < size:  # as if each stripe began the diagonal
+            c[np.tile(np.arange(size), n)[:, None] >= (begin + np.arange(c.shape[1]))[None, :]] = 0
+        own = min(wide, of - begin)
+        even = np.arange(begin % 2, min(own, c.shape[1] - jump), 2)
+        prod, square = c[:, even] * c[:, even + jump], c[:, :own]
+        sums = [x.reshape(n, -1).sum(axis=1) for x in (square**2, square != 0, prod, prod != 0)]
+        out += zip(first // size + np.arange(n), *sums)
+    return out
+
+
+def mask_correlated(
+    rows: DataFrame, by: list[str], chan: str, samples: str, jump: int = 16, most: float = 0.1, boxes=(32, 128, 512), stripes=(32, 128, 1024),
     box_limits=((16.0, 5.0, 9.0), (4.8, 4.2, 8.0), (5.2, 3.1, 3.8)), stripe_limits=((9.0, 3.5), (6.0, 3.0), (7.0, 2.5)),
-) -> None:
-    """Mask channels (kept and bits change in place) whose correlations c, with 0 for what doesn't count, are too strong in a box
-    off the diagonal or in a stripe: by chi-square, by products of neighbouring lines, and in boxes by their sum.
+) -> DataFrame:
+    """Half-bands of channels (samples at unmasked times; kept, reason) after box, stripe and largest-correlation masks: by, chan, kept, reason, strongest.
 
-    Limits are in standard deviations, by size: (chi2, product, sum) and (chi2, product). What one
-    size takes is 0 for the next. Sizes that no matrix holds take nothing.
-    """
-    def cut(which: np.ndarray, size: int, name: str) -> None:
-        hit = np.repeat(which, size)
-        kept[: len(hit)][hit] = False
-        if name in REASONS:
-            bits[: len(hit)][hit] |= reason(name)
-
-    for k, (box, stripe) in enumerate(zip(boxes, stripes)):
-        for size, limits, tall in ((box, box_limits[k], False), (stripe, stripe_limits[k], True)):
-            if size > len(c):
-                continue
-            square, total, dof, prod, n_prod = _blocks(c, size, jump, tall)
-            dof, n_prod = np.maximum(dof, 1), np.maximum(n_prod, 1)
-            strong = {"chi2": (square * samples - dof) / np.sqrt(2 * dof) > limits[0], "prod": prod * samples / np.sqrt(n_prod) > limits[1]}
-            if not tall:
-                strong["sum"] = np.abs(total) * np.sqrt(samples / dof) > limits[2]
-            for test, bad in strong.items():
-                bad = bad[:, 0] if tall else (np.triu(bad, 1).any(axis=1) | np.triu(bad, 1).any(axis=0))
-                cut(bad, size, f"{'stripe' if tall else 'box'} {size} {test}")
-            c[~kept] = 0
-            c[:, ~kept] = 0
-
-
-def mask_correlated(rows: DataFrame, by: list[str], chan: str, samples: str, jump: int = 16, most: float = 0.1, **limits) -> DataFrame:
-    """Half-bands of channels (chan from 0; samples at unmasked times; kept, reason) after box, stripe and largest-correlation masks: by, chan, kept, reason, strongest.
-
-    One group is one detector's half-band, of two bands of channels at most, so its correlation
-    matrix fits in a task. Neighbouring channels never count, nor do masked ones.
+    Masked are channels whose correlations are too strong in a box off the diagonal or in a stripe: by chi-square, by products of
+    neighbouring lines, and in boxes by their sum. Limits are in standard deviations, by size: (chi2, product, sum) and (chi2,
+    product). What one size takes is 0 for the next; sizes that no group holds take nothing. Neighbouring channels never count, nor do masked ones.
+
+    A group's channels lie in panels, each two of which meet in one task; a matrix is there in strips only, and what it comes to
+    (by box or stripe) is written before the next size. So groups may have any number of channels.
     """
-    def change(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(chan)
-        m = np.stack([np.asarray(s, dtype=float) for s in group[samples]])
-        m = m - m.mean(axis=1, keepdims=True)
-        size = np.sqrt((m * m).sum(axis=1))
-        c = (m @ m.T) / np.where(size > 0, size, np.inf)[:, None] / np.where(size > 0, size, np.inf)
-        kept, bits = group["kept"].to_numpy(dtype=bool).copy(), group["reason"].to_numpy(dtype=np.int64).copy()
-        c[np.abs(np.subtract.outer(np.arange(len(c)), np.arange(len(c)))) <= 1] = 0
-        c[~kept] = 0
-        c[:, ~kept] = 0
-        strongest = np.abs(c).max(axis=1)
-        box_stripe_mask(c, kept, bits, m.shape[1], jump, **limits)
-        bits[strongest > most] |= reason("correlated")
-        return group[[*by, chan]].assign(kept=kept & (strongest <= most), reason=bits, strongest=strongest)
-
-    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*by, chan])
-    return rows.groupBy(*by).applyInPandas(change, f"{fields}, kept boolean, reason long, strongest double")
+    width = int(np.lcm.reduce([*boxes, *stripes, 2]))
+    w = Window.partitionBy(*by)
+    base = settled(rows.select(*by, chan, F.col(samples).alias("_s"), "kept", F.col("reason").cast("long").alias("reason"), (F.row_number().over(w.orderBy(chan)) - 1).cast("long").alias("_at"), F.count("*").over(w).alias("_of")))
+    fields = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in by)
+    state = base.select(*by, "_at", "kept", "reason")
+
+    def met(halo: int, ordered_pairs: bool) -> DataFrame:
+        both = _panels(base.drop("kept", "reason").join(state, [*by, "_at"]), by, "_s", width, halo)
+        return (both.filter("_i <= _j") if ordered_pairs else both).groupBy(*by, "_i", "_j")
+
+    def keyed(group: pd.DataFrame, found: list, columns: list[str]) -> pd.DataFrame:
+        out = pd.DataFrame(found, columns=columns)
+        for name in reversed(by):
+            out.insert(0, name, pd.Series([group[name].iloc[0]] * len(out), dtype=object))
+        return out
+
+    def largest(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for first, begin, c in _strips(group, "_s", 1, 0):
+            c = np.abs(c)
+            found += [*zip(range(first, first + len(c)), c.max(axis=1)), *zip(range(begin, begin + c.shape[1]), c.max(axis=0))]
+        return keyed(group, found, ["_at", "strongest"])
+
+    strongest = settled(met(0, True).applyInPandas(largest, f"{fields}_at long, strongest double").groupBy(*by, "_at").agg(F.max("strongest").alias("strongest")))
+
+    def bit(kind: str, size: int, test: str) -> int:
+        name = f"{kind} {size} {test}"
+        return reason(name) if name in REASONS else 0
+
+    def box_stage(size: int, limits: tuple) -> DataFrame:
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            found = _box_hits(group, "_s", size, jump, limits, len(group["_s"].iloc[0]))
+            return keyed(group, [(x, bit("box", size, test)) for x, test in found], ["_block", "_bit"])
+
+        return met(0, True).applyInPandas(run, f"{fields}_block long, _bit long")
+
+    def stripe_stage(size: int, limits: tuple) -> DataFrame:
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            times = len(group["_s"].iloc[0])
+            return keyed(group, [(*x, times) for x in _stripe_sums(group, "_s", size, jump)], ["_block", "s", "dof", "p", "n", "times"])
+
+        sums = met(jump, False).applyInPandas(run, f"{fields}_block long, s double, dof long, p double, n long, times long").groupBy(*by, "_block")
+        sums = sums.agg(F.sum("s").alias("s"), F.greatest(F.sum("dof"), F.lit(1)).alias("dof"), F.sum("p").alias("p"), F.greatest(F.sum("n"), F.lit(1)).alias("n"), F.max("times").alias("times"))
+        tests = {"chi2": (F.col("s") * F.col("times") - F.col("dof")) / F.sqrt(2.0 * F.col("dof")) > limits[0], "prod": F.col("p") * F.col("times") / F.sqrt(F.col("n").cast("double")) > limits[1]}
+        bits = F.array_compact(F.array(*[F.when(bad, F.lit(bit("stripe", size, test)).cast("long")) for test, bad in tests.items()]))
+        return sums.select(*by, "_block", F.explode(bits).alias("_bit"))
+
+    for k, sizes in enumerate(zip(boxes, stripes)):
+        for size, stage, limits in ((sizes[0], box_stage, box_limits[k]), (sizes[1], stripe_stage, stripe_limits[k])):
+            hits = stage(size, limits).groupBy(*by, "_block").agg(F.bit_or("_bit").alias("_bits"))
+            after = state.withColumn("_block", F.expr(f"_at div {size}")).join(hits, [*by, "_block"], "left")
+            state = settled(after.select(*by, "_at", (F.col("kept") & F.col("_bits").isNull()).alias("kept"), F.col("reason").bitwiseOR(F.coalesce("_bits", F.lit(0).cast("long"))).alias("reason")))
+    out = base.select(*by, chan, "_at").join(state, [*by, "_at"]).join(strongest, [*by, "_at"])
+    return flag(out, F.col("strongest") > most, "correlated").select(*by, chan, "kept", "reason", "strongest")
 
 
 def box_sums(pairs: DataFrame, by: list[str], size: int, samples: int) -> DataFrame:

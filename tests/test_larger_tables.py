@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from test_scans import plain_box_mask
 
-from lumenfold.operators import scans, series, spectra
+from lumenfold.operators import filters, masking, scans, series, spectra
 from lumenfold.plans import filter_queries, map_queries, scan_queries, signal_queries  # noqa: F401
 from lumenfold.plans import queries as plans
 
@@ -67,3 +68,68 @@ def test_sums_and_largest_of_correlations_with_gaps(spark):
         got = {r["chan"]: r["largest"] for r in spectra.largest_correlation(long, ["sb"], "chan").collect()}
         both = np.abs(np.where((abs(a - b) >= 2) & (common > 0), corr, np.nan))
         assert len(got) == 600 and got[7] is None and all(np.isclose(got[c], np.nanmax(both[c])) for c in range(600) if c != 7)
+
+
+def test_correlation_masks_by_panels(spark):
+    g = np.random.default_rng(11)
+    n, samples, jump, sizes = 299, 100, 4, (8, 16)
+    m = g.normal(size=(n, samples))
+    m[100:130] += 0.7 * g.normal(size=samples)
+    m[3:6] += 2 * g.normal(size=samples)
+    kept = g.random(n) > 0.1
+    limits = ((9.0, 5.0, 9.0), (7.0, 6.0, 8.0)), ((9.0, 5.0), (8.0, 5.0))
+    rows = spark.createDataFrame([(5, 2 * c, [float(x) for x in m[c]], bool(kept[c]), 0) for c in range(n)], "feed int, chan int, s array<double>, kept boolean, reason long")
+    panels = masking._panels(rows.selectExpr("feed", "chan div 2 as _at", "299L as _of", "s", "kept"), ["feed"], "s", 16, jump).groupBy("_i", "_j", "_row").count().collect()
+    assert len(panels) == 2 * 7 * 7 and max(r["count"] for r in panels) == 48 + jump  # seven panels of 48; before, one task had all
+    got = {r["chan"] // 2: r for r in masking.mask_correlated(rows.repartition(3), ["feed"], "chan", "s", jump, 0.6, sizes, sizes, *limits).collect()}
+    c = np.corrcoef(m)
+    c[np.abs(np.subtract.outer(np.arange(n), np.arange(n))) <= 1] = 0
+    c[~kept] = 0
+    c[:, ~kept] = 0
+    want, _ = plain_box_mask(c, kept, samples, jump, sizes, sizes, *limits)
+    strongest = np.abs(c).max(axis=1)
+    assert 0 < want.sum() < kept.sum() and len(got) == n
+    assert all(got[k]["kept"] == bool(want[k] and strongest[k] <= 0.6) and np.isclose(got[k]["strongest"], strongest[k]) for k in range(n))
+
+
+def plain_noise_fit(d, bins=19):
+    if len(d) < 8 or not np.ptp(d):
+        return np.full(3, np.inf)
+    f, p, modes = filters.binned_power(d, np.geomspace(1 / len(d), 0.5 + 1e-9, bins + 1))
+    best, found = np.inf, np.full(3, np.inf)
+    for knee in (f[0], f[len(f) // 2]):
+        x, damp = np.array([np.log(p[len(p) // 2 :].mean()), np.log(knee), -1.0]), 1e-2
+
+        def error(x):
+            z = x[2] * (np.log(f) - x[1])
+            return np.sqrt(modes) * (np.log(p) - x[0] - np.logaddexp(0, z)), z
+
+        r, z = error(x)
+        for _ in range(100):
+            s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            jac = np.sqrt(modes)[:, None] * np.stack([np.ones_like(f), -s * x[2], s * (np.log(f) - x[1])], axis=1)
+            h = jac.T @ jac
+            trial = x + np.linalg.solve(h + damp * np.diag(np.diag(h)) + 1e-9 * np.eye(3), jac.T @ r)
+            r2, z2 = error(trial)
+            if np.isfinite(trial).all() and r2 @ r2 < r @ r:
+                x, r, z, damp = trial, r2, z2, damp / 3
+            else:
+                damp = min(damp * 4, 1e9)
+        if r @ r < best:
+            best, found = r @ r, np.array([np.exp(x[0] / 2), np.exp(np.clip(x[1], -700, 700)), x[2]])
+    return found
+
+
+def test_noise_fits_of_a_batch_step_together(monkeypatch):
+    g = np.random.default_rng(8)
+    streams = [np.cumsum(g.normal(size=64)) * 0.2 + g.normal(size=64) for _ in range(40)] + [g.normal(size=100), np.ones(64), np.ones(3), np.empty(0)]
+    want, steps, solve = [plain_noise_fit(d) if len(d) else d for d in streams], [0], np.linalg.solve
+
+    def counted(*a):
+        steps[0] += 1
+        return solve(*a)
+
+    monkeypatch.setattr(np.linalg, "solve", counted)
+    got = filters.noise_parameters(streams)
+    assert steps[0] == 400  # two lengths, two starts; before, 200 for each row
+    assert sum(np.allclose(a, b, rtol=1e-5) for a, b in zip(got, want)) >= 42 and all(a.shape == b.shape for a, b in zip(got, want))

@@ -282,36 +282,51 @@ def binned_power(d: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (*(np.histogram(f, edges, weights=v)[0][some] / modes[some] for v in (f, p)), modes[some])
 
 
-def fit_noise(rows: DataFrame, key: str, samples: str, bins: int = 19) -> DataFrame:
-    """`filtered` holds sigma, knee and alpha of sigma^2 (1 + (f / knee)^alpha), fitted to the binned power.
-
-    Damped Gauss-Newton steps on logarithms from two starts; infinite where neither settles.
-    """
-    def change(d, _):
-        if len(d) < 8 or not np.ptp(d):
-            return np.full(3, np.inf)
-        f, p, modes = binned_power(d, np.geomspace(1 / len(d), 0.5 + 1e-9, bins + 1))
-        best, found = np.inf, np.full(3, np.inf)
+def noise_parameters(streams: list[np.ndarray], bins: int = 19) -> list[np.ndarray]:
+    """sigma, knee and alpha of each stream; streams whose power lies in the same bins are fitted together, each by its own steps."""
+    out, alike = [np.full(3, np.inf) if len(d) else d for d in streams], {}
+    for k, d in enumerate(streams):
+        if len(d) >= 8 and np.ptp(d):
+            f, p, modes = binned_power(d, np.geomspace(1 / len(d), 0.5 + 1e-9, bins + 1))
+            alike.setdefault((f.tobytes(), modes.tobytes()), (f, modes, [], []))[2].append(k)
+            alike[f.tobytes(), modes.tobytes()][3].append(p)
+    for f, modes, rows, powers in alike.values():
+        p, root = np.stack(powers), np.sqrt(modes)
+        best, found = np.full(len(p), np.inf), np.full((len(p), 3), np.inf)
         for knee in (f[0], f[len(f) // 2]):
-            x, damp = np.array([np.log(p[len(p) // 2 :].mean()), np.log(knee), -1.0]), 1e-2
+            x, damp = np.stack([np.log(p[:, p.shape[1] // 2 :].mean(axis=1)), np.full(len(p), np.log(knee)), np.full(len(p), -1.0)], axis=1), np.full(len(p), 1e-2)
 
             def error(x):
-                z = x[2] * (np.log(f) - x[1])
-                return np.sqrt(modes) * (np.log(p) - x[0] - np.logaddexp(0, z)), z
+                z = x[:, 2:] * (np.log(f) - x[:, 1:2])
+                return root * (np.log(p) - x[:, :1] - np.logaddexp(0, z)), z
 
             r, z = error(x)
             for _ in range(100):
                 s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-                jac = np.sqrt(modes)[:, None] * np.stack([np.ones_like(f), -s * x[2], s * (np.log(f) - x[1])], axis=1)
-                h = jac.T @ jac
-                trial = x + np.linalg.solve(h + damp * np.diag(np.diag(h)) + 1e-9 * np.eye(3), jac.T @ r)
-                r2, z2 = error(trial)
-                if np.isfinite(trial).all() and r2 @ r2 < r @ r:
-                    x, r, z, damp = trial, r2, z2, damp / 3
-                else:
-                    damp = min(damp * 4, 1e9)
-            if r @ r < best:
-                best, found = r @ r, np.array([np.exp(x[0] / 2), np.exp(np.clip(x[1], -700, 700)), x[2]])
-        return found
+                jac = root[:, None] * np.stack([np.ones_like(z), -s * x[:, 2:], s * (np.log(f) - x[:, 1:2])], axis=2)
+                turned = jac.transpose(0, 2, 1)
+                h = turned @ jac
+                trial = x + np.linalg.solve(h + damp[:, None, None] * (h * np.eye(3)) + 1e-9 * np.eye(3), turned @ r[:, :, None])[:, :, 0]
+                with np.errstate(all="ignore"):
+                    r2, z2 = error(trial)
+                    better = np.isfinite(trial).all(axis=1) & ((r2 * r2).sum(axis=1) < (r * r).sum(axis=1))
+                x, r, z = (np.where(better[:, None], new, old) for new, old in ((trial, x), (r2, r), (z2, z)))
+                damp = np.where(better, damp / 3, np.minimum(damp * 4, 1e9))
+            size = (r * r).sum(axis=1)
+            found = np.where((size < best)[:, None], np.stack([np.exp(x[:, 0] / 2), np.exp(np.clip(x[:, 1], -700, 700)), x[:, 2]], axis=1), found)
+            best = np.where(size < best, size, best)
+        for k, one in zip(rows, found):
+            out[k] = one
+    return out
 
-    return per_row(rows, key, samples, change)
+
+def fit_noise(rows: DataFrame, key: str, samples: str, bins: int = 19) -> DataFrame:
+    """`filtered` holds sigma, knee and alpha of sigma^2 (1 + (f / knee)^alpha), fitted to the binned power.
+
+    Damped Gauss-Newton steps on logarithms from two starts, of a batch's rows at once; infinite where neither settles.
+    """
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "filtered": noise_parameters([np.empty(0) if s is None else np.asarray(s, dtype=float) for s in batch[samples]], bins)})
+
+    return rows.select(key, samples).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, filtered array<double>")

@@ -1,8 +1,11 @@
 """What made queries fail on larger tables: plans and sizes that grow faster than the input, and ties."""
 
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_scans import plain_box_mask
 
 from lumenfold.operators import filters, masking, scans, series, spectra
@@ -133,3 +136,10 @@ def test_noise_fits_of_a_batch_step_together(monkeypatch):
     got = filters.noise_parameters(streams)
     assert steps[0] == 400  # two lengths, two starts; before, 200 for each row
     assert sum(np.allclose(a, b, rtol=1e-5) for a, b in zip(got, want)) >= 42 and all(a.shape == b.shape for a, b in zip(got, want))
+
+
+def test_arrays_of_correlations_are_repeated_for_large_blocks_only(spark):
+    long = spark.range(600 * 4).selectExpr("1 as sb", "id div 4 as chan", "id % 4 as t", "hash(id) / 1e9 as value")
+    most = int(inspect.signature(spectra.correlation).parameters["block"].default)
+    met = spectra._meet(long, ["sb"], "chan", "t", F.ceil(F.col("_n") / most))
+    assert met.count() == 600  # blocks of 256 made 1,800

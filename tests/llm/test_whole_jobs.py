@@ -140,3 +140,22 @@ def test_stages_on_empty_tables_and_clashing_columns(spark):
         assert [c for c in out.columns if c not in ("copy", "shuffle_key")] == docs.columns, name
         rows = out.filter("_row = 7 and _was = 8 and _lf_gone = 9 and _lf_times = 1 and row = 2 and score = 3").select("doc_id").collect()
         assert len(rows) == out.count() and (name == "source_mixing" or {r["doc_id"] for r in rows} >= {0, 1, 2, 3}), name
+
+
+def test_tiles_of_lists_meet_in_rounds_and_texts_go_early(spark, monkeypatch):
+    """Unlike lines that share a phrase stand in one list, whose tiles (of a few lines here) meet a share at a time; before, all at once."""
+    r = random.Random(6)
+    own = [["t%d_%d" % (k, i) for i in range(6)] + ["in", "any", "case"] for k in range(60)]
+    lines = [" ".join(x) for x in own] + [" ".join([*x[:5], "other", *x[6:]]) for x in own[::3]]
+    r.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)]
+    met, meet, free = [], line_dedup._tile_links, line_dedup.new_path
+    deleted, paths = [], []
+    monkeypatch.setattr(line_dedup, "TILE", 8)
+    monkeypatch.setattr(line_dedup, "_tile_links", lambda members, near: met.append(members.count()) or meet(members, near))
+    monkeypatch.setattr(line_dedup, "new_path", lambda s: paths.append(free(s)) or paths[-1])
+    monkeypatch.setattr(line_dedup, "delete", lambda s, path: deleted.append(path))
+    gone = line_dedup.duplicate_lines(docs_of(spark, texts).repartition(4), distance=None, grams=16).collect()
+    assert {tuple(x) for x in gone} == lines_gone(texts) and len(gone) == 20
+    assert len(met) == line_dedup.ROUNDS and 0 < max(met) < sum(met) / 2
+    assert sorted(deleted) == sorted(paths) and "code" in spark.read.parquet(deleted[0]).columns

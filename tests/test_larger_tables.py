@@ -143,3 +143,13 @@ def test_arrays_of_correlations_are_repeated_for_large_blocks_only(spark):
     most = int(inspect.signature(spectra.correlation).parameters["block"].default)
     met = spectra._meet(long, ["sb"], "chan", "t", F.ceil(F.col("_n") / most))
     assert met.count() == 600  # blocks of 256 made 1,800
+
+
+@pytest.mark.parametrize("name", ["corr_matrix", "corr_matrix_all"])
+def test_correlations_are_rounded_where_the_matrix_is(spark, name):
+    """Not pair by pair above it; halves go away from 0, and 0 has no sign."""
+    assert "round(" not in plan_of(plans.QUERIES[name](spark, SF))
+    m = np.array([[1.0, 0, 0, -1], [1, 1, -1, -1], [-1, 9, 9, 1], [3, 3, 3, 3], [1, -1e-7, 1e-7, 1]])
+    long = spark.createDataFrame([(1, c, t, float(m[c, t])) for c in range(5) for t in range(4)], "sb int, chan long, t int, value double")
+    got = {(r["a"], r["b"]): r["corr"] for r in spectra.correlation(long, ["sb"], "chan", digits=1).collect()}
+    assert got[0, 1] == 0.7 and got[0, 2] == -0.2 and got[0, 3] is None and str(got[1, 4]) == "0.0" and len(got) == 10

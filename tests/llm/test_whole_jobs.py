@@ -159,3 +159,32 @@ def test_tiles_of_lists_meet_in_rounds_and_texts_go_early(spark, monkeypatch):
     assert {tuple(x) for x in gone} == lines_gone(texts) and len(gone) == 20
     assert len(met) == line_dedup.ROUNDS and 0 < max(met) < sum(met) / 2
     assert sorted(deleted) == sorted(paths) and "code" in spark.read.parquet(deleted[0]).columns
+
+
+def test_links_of_a_tile_are_no_more_than_its_lines(spark, monkeypatch):
+    """Lines near each other, of which the smallest of their lists is near few: before, each pair of them was a link."""
+    r = random.Random(3)
+    base = ["q%d" % i for i in range(24)]
+    lines = [" ".join(base[:k] + ["p%d" % r.randrange(999)] + base[k + 1 :]) for k in range(0, 24, 2) for _ in range(8)]
+    lines += [" ".join(["o%d_%d" % (k, i) for i in range(20)] + base[:4]) for k in range(40)]
+    r.shuffle(lines)
+    lines, links, meet = [*lines, "two words"], [], line_dedup._tile_links
+
+    def tile_links(members, near):
+        out = meet(members, near)
+        links.append((members.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "_tile_links", tile_links)
+    for tile in (16, 256):
+        monkeypatch.setattr(line_dedup, "TILE", tile)
+        gone = line_dedup.duplicate_lines(docs_of(spark, lines).repartition(4), distance=None, grams=16).collect()
+        assert {tuple(x) for x in gone} == lines_gone(lines)
+
+    f = lambda k: F.struct(F.lit(1).alias("words"), F.lit(k).alias("at"))
+    tile = spark.range(60).select(F.lit(1).alias("block"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.struct(F.lit(0).alias("part"), F.col("id").alias("key"), F.col("id").alias("comp"), f(0).withField("at", F.col("id")).alias("f")).alias("l"))
+    for step, groups in ((2, 1), (60, 1), (20, 3)):
+        near = (lambda a, b: F.abs(a["at"] - b["at"]) < step) if step != 20 else (lambda a, b: F.floor(a["at"] / 20) == F.floor(b["at"] / 20))
+        rows = meet(tile, near).collect()
+        assert len(rows) == 60 - groups and {x["cb"] for x in rows} == {k * 20 for k in range(groups)}
+    assert links and all(n <= m for m, n in links)

@@ -7,6 +7,7 @@ there the whole item is aligned by edit distance over tokens, and its slots must
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,17 +32,31 @@ _SLOT = np.array([0, 0x4E414D45, 0x4E554D42, 0x554E4954], dtype=np.uint64)
 
 
 class Tokens(dict):
-    """(hash, kind) of a token by its spelling, kept while there are fewer than `most`."""
+    """The number of a token by its spelling, and by number its hash and kind. All go before a text once there are `most`."""
 
     most = 300_000
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes, self.kinds = array("Q"), array("b")
+
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and kinds of a text's tokens."""
         if len(self) >= self.most:
             self.clear()
+            self.hashes, self.kinds = array("Q"), array("b")
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if not len(at):
+            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int8)
+        return np.frombuffer(self.hashes, dtype=np.uint64)[at], np.frombuffer(self.kinds, dtype=np.int8)[at]
+
+    def __missing__(self, token: str) -> int:
         lower = token.lower()
         kind = END if token in ".!?\n" else NUMBER if token[0].isdigit() else UNIT if lower in UNITS else NAME if token[0].isupper() and token[1:].islower() else WORD
-        value = self[token] = (xxhash.xxh64_intdigest(lower.encode("utf-8", "surrogatepass")), kind)
-        return value
+        self.hashes.append(xxhash.xxh64_intdigest(lower.encode("utf-8", "surrogatepass")))
+        self.kinds.append(kind)
+        number = self[token] = len(self)
+        return number
 
 
 def template(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,15 +66,14 @@ def template(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray,
     <name>; every other token stands for itself, in lower case. Values are hashes of the tokens.
     Shapes are kinds, with capitalised words at the start of a sentence as <name> too.
     """
-    found = _TOKEN.findall(text) if text else []
-    pairs = np.array([tokens[t] for t in found], dtype=np.uint64).reshape(-1, 2)
-    value, kind = pairs[:, 0], pairs[:, 1].astype(np.int8)
-    before = np.r_[np.int8(END), kind[:-1]]
+    value, kind = tokens.of(_TOKEN.findall(text) if text else [])
+    before = np.empty_like(kind)
+    before[:1], before[1:] = END, kind[:-1]
     shape = np.where((kind == UNIT) & (before != NUMBER), WORD, kind)
     kind = np.where((shape == NAME) & (before == END), WORD, shape)
     keep = kind != END
     value, kind, shape = value[keep], kind[keep], shape[keep]
-    return np.where(kind == WORD, value, _SLOT[kind]), kind.astype(np.int8), value, shape.astype(np.int8)
+    return np.where(kind == WORD, value, _SLOT[kind]), kind.astype(np.int8, copy=False), value, shape.astype(np.int8, copy=False)
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -69,7 +83,9 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.full(count, width, dtype=np.uint64)
         for k in range(width):
-            out = (out ^ (out >> np.uint64(29))) * _MUL + codes[k : count + k]
+            out ^= out >> np.uint64(29)
+            out *= _MUL
+            out += codes[k : count + k]
     return out
 
 
@@ -169,22 +185,34 @@ def _doc_windows(parts: tuple, width: int) -> list[np.ndarray]:
     return [window_hashes(parts[0], width).view(np.int64), window_hashes(parts[2], width).view(np.int64)]
 
 
+#: Bits of a window's hash that tell most windows of documents from all of the items'.
+_FIRST = 20
+
+
+def _first(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - _FIRST)).view(np.int64)
+
+
 def _aligned_docs(known, items, coverage: float, consistency: float):
     """Documents against all items: known holds sorted hashes, items and starts by width."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, by_width = Tokens(), known.value
         parsed = {i: template(t, tokens) for i, t in items.value.items()}
+        firsts = {w: np.zeros(1 << _FIRST, dtype=bool) for w in by_width}
+        for w, (table, _, _) in by_width.items():
+            firsts[w][_first(table)] = True
         for batch in batches:
             out = []
             for doc, text in zip(batch["_id"], batch["_text"]):
                 parts, hits = template(text, tokens), []
                 for w, (table, item, at) in by_width.items():
                     for hashes in _doc_windows(parts, w):
-                        lo = np.searchsorted(table, hashes)
-                        pos = np.flatnonzero(table[np.minimum(lo, len(table) - 1)] == hashes)
+                        pos = np.flatnonzero(firsts[w][_first(hashes)])
+                        lo = np.searchsorted(table, hashes[pos])
+                        met = table[np.minimum(lo, len(table) - 1)] == hashes[pos]
+                        pos, lo = pos[met], lo[met]
                         if len(pos):
-                            lo = lo[pos]
                             count = np.searchsorted(table, hashes[pos], side="right") - lo
                             rows = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
                             hits.append(np.stack([item[rows], np.repeat(pos, count) - at[rows], at[rows]]))

@@ -65,3 +65,18 @@ def test_null_ids_and_long_documents(spark):
     docs = spark.createDataFrame([(None, item), (5, "x " * 30_000 + item + " y" * 30_000), (5, item), (6, None)], "doc_id long, text string")
     got = sorted((x["doc_id"] or -1, x["item_id"], x["verbatim"]) for x in decontam.contaminated(docs, bench).collect())
     assert got == [(-1, 1, True), (5, 1, True)]
+
+
+def test_tokens_of_a_text_are_hashed_once(monkeypatch):
+    """Also where a text has more than are kept; before, each time they had gone, and each token was a pair of Python numbers."""
+    hashed, xxh = [], decontam.xxhash.xxh64_intdigest
+    monkeypatch.setattr(decontam.xxhash, "xxh64_intdigest", lambda b: hashed.append(b) or xxh(b))
+    text = "Tom has 12 mm of é wire. Tom sold 7 cm of it!"
+    want = [x.tolist() for x in decontam.template(text, decontam.Tokens())]
+    tokens, once = decontam.Tokens(), len(hashed)
+    tokens.most = 3
+    for k in range(1, 4):
+        assert [x.tolist() for x in decontam.template(text, tokens)] == want
+        assert len(hashed) == once * (k + 1) and once == len({*decontam._TOKEN.findall(text)})
+    assert [len(x) for x in decontam.template("", tokens)] == [0] * 4 and [len(x) for x in decontam.template(None, tokens)] == [0] * 4
+    assert want[2][0] == xxh(b"tom") and want[1] == [0, 0, 2, 3, 0, 0, 0, 0, 0, 2, 3, 0, 0]

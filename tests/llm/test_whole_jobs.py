@@ -188,3 +188,19 @@ def test_links_of_a_tile_are_no_more_than_its_lines(spark, monkeypatch):
         rows = meet(tile, near).collect()
         assert len(rows) == 60 - groups and {x["cb"] for x in rows} == {k * 20 for k in range(groups)}
     assert links and all(n <= m for m, n in links)
+
+
+def test_large_lists_make_rows_in_proportion_to_their_lines(spark, monkeypatch):
+    """Unlike lines stand in one list here, cut into parts of a few; before, each was copied to every other part."""
+    met, none = [], spark.createDataFrame([], "ca long, cb long")
+    monkeypatch.setattr(line_dedup, "TILE", 8)
+    monkeypatch.setattr(line_dedup, "gram_blocks", lambda u, blocks: F.array(F.lit(7).cast("long")))
+    monkeypatch.setattr(line_dedup, "_in_rounds", lambda members, near: met.append(members.count()) or none)
+    rows = []
+    for n in (40, 160):
+        own = [["s%d_%d" % (k, i) for i in range(8)] for k in range(n)]
+        lines = [" ".join(x) for x in own] + [" ".join([*x[:3], "other", *x[4:]]) for x in own[::4]]
+        met.clear()
+        line_dedup.duplicate_lines(docs_of(spark, lines).repartition(4), distance=None, grams=16)
+        rows.append(sum(met))
+    assert rows[0] > 0 and rows[1] < 6 * rows[0], rows

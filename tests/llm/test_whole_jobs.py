@@ -1,6 +1,8 @@
 """Operators against what their whole job is: every pair, every item, every row."""
 
 import random
+import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 from test_operators import components, docs_of, plain_edit
@@ -204,3 +206,36 @@ def test_large_lists_make_rows_in_proportion_to_their_lines(spark, monkeypatch):
         line_dedup.duplicate_lines(docs_of(spark, lines).repartition(4), distance=None, grams=16)
         rows.append(sum(met))
     assert rows[0] > 0 and rows[1] < 6 * rows[0], rows
+
+
+def test_long_unlike_lines_of_a_tile_are_told_apart_by_their_words_counts(spark, monkeypatch):
+    """Lines of 160 words of a small vocabulary have most of the 128 bits of a bitmap, so before all of them were compared word by word."""
+    r = random.Random(8)
+    words = ["v%d" % i for i in range(600)]
+    lines = [[r.choice(words) for _ in range(160)] for _ in range(30)]
+    table = line_dedup.code_table(docs_of(spark, [" ".join(x) for x in lines]), "doc_id", "text").withColumn("u", line_dedup._code_points(F.col("code")))
+    known = table.select("key", F.struct("code", F.size("code").alias("words"), *line_dedup._bitmap("u")).alias("f")).cache()
+    near = line_dedup.Near(known, 0.75)
+    tile = known.select(F.lit(1).alias("block"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.struct(F.lit(0).alias("part"), "key", F.col("key").alias("comp"), near.slight().alias("f")).alias("l"))
+    assert near.likely(tile).count() == 30
+    monkeypatch.setattr(line_dedup, "_similar", lambda a, b, similarity: F.raise_error("compared").isNotNull())
+    assert line_dedup._tile_links(tile, near).count() == 0
+
+
+def test_counts_of_words_rule_out_no_near_lines(spark):
+    """Repeats count as often as they stand there, in short and long lines."""
+    r, pairs = random.Random(9), []
+    for n in [5, 8, 13, 40, 160, 700] * 8:
+        line = [r.choice(["a", "b", *["w%d" % i for i in range(n // 2)]]) for _ in range(n)]
+        more = list(line)
+        for at in r.sample(range(n), r.randrange(0, n // 4 + 1)):
+            more[at] = r.choice(["a", "b", "c"])
+        pairs += [(line, more), (line, r.sample(line, n)), (line, r.choices(line, k=n)), (["a"] * n, ["a"] * (n // 2) + ["b"] * (n - n // 2))]
+    rows = spark.createDataFrame([(k, *[[zlib.crc32(w.encode()) % 50_000 for w in x] for x in p]) for k, p in enumerate(pairs)], "k int, a array<int>, b array<int>").repartition(4)
+    facts = lambda c: F.struct(F.size(c).alias("words"), line_dedup._counted(F.col(c)).alias("counted"))
+    got = {x["k"]: x["s"] for x in rows.select("k", line_dedup._shares(facts("a"), facts("b"), 0.75).alias("s")).collect()}
+    for k, (a, b) in enumerate(pairs):
+        common = sum((Counter(a) & Counter(b)).values())
+        assert got[k] or 4 * common < 3 * len(a), k
+        assert not got[k] or 4 * common >= 3 * len(a) - len(a) // 10, k
+    assert sum(got.values()) > 90 and not all(got.values())

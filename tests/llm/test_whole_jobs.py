@@ -239,3 +239,12 @@ def test_counts_of_words_rule_out_no_near_lines(spark):
         assert got[k] or 4 * common < 3 * len(a), k
         assert not got[k] or 4 * common >= 3 * len(a) - len(a) // 10, k
     assert sum(got.values()) > 90 and not all(got.values())
+
+
+def test_codes_of_distinct_lines_go_before_the_result_is_read(spark, monkeypatch):
+    """Before, they lay on disk until the stages behind had ended too."""
+    deleted = []
+    monkeypatch.setattr(line_dedup, "delete", lambda s, path: deleted.append(path))
+    gone = line_dedup.duplicate_lines(docs_of(spark, ["a b c d e f", "A b c d e f", "one two three"]), distance=None, grams=16)
+    assert {"first", "code"} <= set(spark.read.parquet(deleted[-1]).columns)
+    assert [tuple(x) for x in gone.collect()] == [(1, 0, 0, 0)]
